@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.states import with_state_code
 from ..session import table
-from . import digest, runs
+from . import digest, leakage, packing, residue, runs
 
 QS = [0.25, 0.5, 0.9, 0.99]
 
@@ -53,7 +53,44 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_goroutine_percentiles, p1_state_percentiles, p1_function_percentiles, p1_daily_digests, p4_found, p4_collapsed)}
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return leakage.without_leaked(docs, p8_found(spark, sf_dir)).select("doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return residue.without_residue(docs, residue.find_residue(docs)).select("doc_id", "text")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_goroutine_percentiles,
+        p1_state_percentiles,
+        p1_function_percentiles,
+        p1_daily_digests,
+        p4_found,
+        p4_collapsed,
+        p7_containers,
+        p8_found,
+        p8_clean,
+        p9_found,
+        p9_clean,
+    )
+}
 
 _RUNS = """
 WITH names AS (
