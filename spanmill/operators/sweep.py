@@ -75,16 +75,17 @@ def running_max(values: np.ndarray, group_starts: np.ndarray) -> np.ndarray:
     return values[order][np.maximum.accumulate(rank + group) - group]
 
 
-def balanced_next(df: DataFrame, keys: list[str], order: list[str], values: list[str], scratch) -> DataFrame:
+def balanced_next(df: DataFrame, keys: list[str], order: list[str], values: list[str], scratch, extra: list[str] = ()) -> DataFrame:
     """Each row with the values of the next row of its key, as next_<value>.
 
     What lead() over a window gives, without one task per key. Rows are
-    compared by all of `order`; the last row of a key has nulls.
+    compared by all of `order`; the last row of a key has nulls. `extra` names
+    further columns to keep.
     """
-    keep = list(dict.fromkeys([*keys, *order, *values]))
+    keep = list(dict.fromkeys([*keys, *order, *values, *extra]))
     rows = df.select(*keep)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([f"{c} {fields[c]}" for c in keep] + [f"next_{c} {fields[c]}" for c in values] + [f"{PID} int", "_end int"])
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in keep] + [f"next_{c} {fields[c]}" for c in values] + [f"{PID} int", "_end int"])
 
     def sweep(batches: Iterator[pa.RecordBatch], pid: int) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -127,3 +128,98 @@ def balanced_next(df: DataFrame, keys: list[str], order: list[str], values: list
     last = swept.where("_end <> 1").select("*", *[F.lead(c).over(w).alias(f"_l_{c}") for c in values])
     last = last.where("_end = 2").select(*keep, *[F.col(f"_l_{c}").alias(f"next_{c}") for c in values])
     return inner.unionByName(last)
+
+
+def balanced_prev(df: DataFrame, keys: list[str], order: list[str], values: list[str], scratch) -> DataFrame:
+    """Each row with the values of the row before it of its key, as prev_<value>.
+
+    lag() without one task per key: rows are numbered backwards, so that the
+    row before is the next one.
+    """
+    back = [f"_r{i}" for i in range(len(order))]
+    turned = df.withColumns({b: -F.col(o).cast("bigint") for b, o in zip(back, order)})
+    out = balanced_next(turned, keys, back, values, scratch, extra=[c for c in df.columns if c not in keys])
+    return out.select(*df.columns, *[F.col(f"next_{v}").alias(f"prev_{v}") for v in values])
+
+
+def balanced_prefix(df: DataFrame, keys: list[str], order: list[str], value: str, scratch) -> DataFrame:
+    """Each row with `run`, the sum of `value` up to and with it within its key,
+    and `low`, the smallest such sum so far (0 at most).
+
+    sum() over a window without one task per key; with no keys it is a global
+    running sum. Null values count as 0. The carry between tasks is at most two
+    rows a task.
+    """
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    by = keys or ["_all"]
+    names = rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", run bigint, low bigint, {PID} int, _head boolean, _last boolean"
+
+    def sweep(batches: Iterator[pa.RecordBatch], pid: int) -> Iterator[pa.RecordBatch]:
+        held, first, total, low = None, None, 0, 0
+        back: pa.RecordBatch | None = None
+
+        def mark(b: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+            flags = np.zeros(b.num_rows, dtype=bool)
+            flags[-1] = last
+            return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(flags)], names=b.schema.names)
+
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            codes = [b.column(names.index(k)).dictionary_encode() for k in by]
+            idx = [c.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in codes]
+            at = starts_of(*idx)
+            key_at = lambda i: tuple(b.column(names.index(k))[int(i)].as_py() for k in by)
+            v = column(b, value).astype(np.int64)
+            n = len(v)
+            run = np.cumsum(v)
+            base = np.repeat(np.append(0, run)[at], np.diff(np.append(at, n)))
+            run = run - base
+            if held is not None and key_at(0) == held:
+                stop = at[1] if len(at) > 1 else n
+                run[:stop] += total
+            else:
+                low = 0
+            if first is None:
+                first = key_at(0)
+            lows = -running_max(-run, at)
+            lows = np.minimum(lows, 0)
+            stop = at[1] if len(at) > 1 else n
+            lows[:stop] = np.minimum(lows[:stop], low)
+            held, total, low = key_at(n - 1), int(run[-1]), int(lows[-1])
+            head = np.zeros(n, dtype=bool)
+            if key_at(0) == first:
+                head[:stop] = True
+            # the key of the task's first rows ends within this batch
+            last = np.zeros(n, dtype=bool)
+            if back is not None:
+                yield mark(back, bool(back.column(back.num_columns - 2)[-1].as_py()) and key_at(0) != first)
+            if head.any() and stop < n:
+                last[stop - 1] = True
+            cols = [*b.columns, pa.array(run), pa.array(lows), pa.array(np.full(n, pid, dtype=np.int32)), pa.array(head), pa.array(last)]
+            now = pa.RecordBatch.from_arrays(cols, names=[*names, "run", "low", PID, "_head", "_last"])
+            if last.any() and n > 1:
+                cut = int(np.flatnonzero(last)[0]) + 1
+                yield now.slice(0, cut)
+                now = now.slice(cut)
+            back = now if now.num_rows else None
+        if back is not None:
+            yield mark(back, True)
+
+    swept = scratch.put(range_sweep(rows, by, order, sweep, schema))
+    # What each task's pieces add to their keys; two rows a task at most.
+    ends = swept.where("_last").select(*by, PID, F.col("run").alias("_sum"), F.col("low").alias("_low"))
+    w = Window.partitionBy(*by).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_carry", F.sum("_sum").over(w))
+    ends = ends.withColumn("_floor", F.min(F.coalesce("_carry", F.lit(0)) + F.col("_low")).over(w)).drop("_sum", "_low")
+    rest = swept.where("not _head").drop(PID, "_head", "_last")
+    heads = swept.where("_head")
+    cond = [heads[k].eqNullSafe(ends[k]) for k in by] + [heads[PID] == ends[PID]]
+    heads = heads.join(F.broadcast(ends), cond, "left").select(
+        *[heads[c] for c in names],
+        (heads["run"] + F.coalesce("_carry", F.lit(0))).alias("run"),
+        F.least(F.lit(0), F.coalesce("_floor", F.lit(0)), heads["low"] + F.coalesce("_carry", F.lit(0))).alias("low"),
+    )
+    out = rest.unionByName(heads)
+    return out if keys else out.drop("_all")
