@@ -41,8 +41,7 @@ def p1_daily_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "spans").where("container = 'G' and track = 'state'")
-    codes = runs.label_codes(spans, table(spark, sf_dir, "state_dim"), "state")
-    return runs.collapse_runs(spans, codes, "container_id", "seq", "state", "start_ns", "end_ns")
+    return runs.collapse_runs(spans, table(spark, sf_dir, "state_dim"), "container_id", "seq", "state", "start_ns", "end_ns")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.states import state_key, state_names
+from ..functions.states import state_key, state_names, with_state_code
 from ..operators.sweep import PID, column, range_sweep, starts_of
 from ..session import Scratch
 
@@ -23,27 +23,28 @@ _NONE = -(2**63)
 _COLS = ["first_seq", "last_seq", "code", "n_events", "first_start", "last_start", "last_end", "max_end"]
 
 
-def label_codes(df: DataFrame, state_dim: DataFrame, label: str, similarity: float = 1.0) -> DataFrame:
-    """(label, code) for every spelling in the data.
+def with_codes(df: DataFrame, state_dim: DataFrame, label: str, similarity: float = 1.0) -> DataFrame:
+    """Adds `_code`, the row of state_dim that a label denotes, null for none.
 
-    Spellings that agree in letters and digits are the same; with a similarity
+    Spellings that agree in letters and digits are the same. With a similarity
     below 1 any other spelling goes to the accepted name whose character
-    trigrams are most alike (Jaccard), if they are alike enough. Work is done
-    once a spelling, not once a row.
+    trigrams are most alike (Jaccard), if they are alike enough; that is worked
+    out once a spelling, in a table that is written, so that Spark knows its
+    size when it plans the join.
     """
-    spellings = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_label")).distinct()
-    names = state_names(state_dim)
-    keyed = spellings.withColumn("name_key", state_key(F.col("_label"))).join(names, "name_key", "left")
+    exact = with_state_code(df, state_dim, label)
     if similarity >= 1:
-        return keyed.select("_label", F.col("state_code").alias("code"))
+        return exact.withColumn("_code", F.col("state_code").cast("bigint")).drop("state_code")
+    names = state_names(state_dim)
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    known = keyed.where("state_code is not null").select("_label", F.col("state_code").alias("code"))
-    other = keyed.where("state_code is null").select("_label", F.explode(grams(F.col("name_key"))).alias("g"), F.size(grams(F.col("name_key"))).alias("na"))
+    other = exact.where(F.col(label).isNotNull() & F.col("state_code").isNull()).select(F.col(label).alias("_other"), state_key(F.col(label)).alias("_k")).distinct()
+    other = other.select("_other", F.explode(grams(F.col("_k"))).alias("g"), F.size(grams(F.col("_k"))).alias("na"))
     dim = names.select("name_key", "state_code", F.explode(grams(F.col("name_key"))).alias("g"), F.size(grams(F.col("name_key"))).alias("nb"))
-    shared = other.join(dim, "g").groupBy("_label", "name_key", "state_code", "na", "nb").agg(F.count("*").alias("m"))
+    shared = other.join(dim, "g").groupBy("_other", "name_key", "state_code", "na", "nb").agg(F.count("*").alias("m"))
     score = F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))
-    best = shared.where(score >= similarity).groupBy("_label").agg(F.min_by("state_code", F.struct(-score, "state_code")).cast("int").alias("code"))
-    return known.unionByName(best)
+    best = shared.where(score >= similarity).groupBy("_other").agg(F.min_by("state_code", F.struct(-score, "state_code")).alias("_near"))
+    best = Scratch(df.sparkSession, "spellings").put(best)
+    return exact.join(best, exact[label] == best["_other"], "left").withColumn("_code", F.coalesce("state_code", "_near").cast("bigint")).drop("state_code", "_other", "_near")
 
 
 def _machine(entity: str, max_gap: int | None):
@@ -111,20 +112,19 @@ def _machine(entity: str, max_gap: int | None):
 
 
 def collapse_runs(
-    df: DataFrame, codes: DataFrame, entity: str, order: str, label: str, start: str, end: str, max_gap_ns: int | None = None
+    df: DataFrame, state_dim: DataFrame, entity: str, order: str, label: str, start: str, end: str, max_gap_ns: int | None = None, similarity: float = 1.0
 ) -> DataFrame:
     """One row per run: entity, first_seq, last_seq, code, n_events, start_ns, duration_ns.
 
     A run is a maximal stretch of events whose whole-number orders follow each
-    other without a hole, whose labels have one code in `codes` (see
-    `label_codes`) and, if max_gap_ns is given, of which each starts at most
+    other without a hole, whose labels denote one row of state_dim (see
+    `with_codes`) and, if max_gap_ns is given, of which each starts at most
     that long after the end of the one before. An event whose label is null or
     has no code is a run of its own with a null code. duration_ns goes from the
     first start to the latest end, null where no end is known. Events that
     agree in entity and order are repeats and count once; those with a null
     entity or order are left out. Empty tables give no rows.
     """
-    small = codes.select(F.col("_label"), F.col("code").cast("bigint").alias("_code"))
     rows = df.where(F.col(entity).isNotNull() & F.col(order).isNotNull()).select(
         F.col(entity).cast("bigint").alias(entity),
         F.col(order).cast("bigint").alias("_seq"),
@@ -132,7 +132,7 @@ def collapse_runs(
         F.col(end).cast("bigint").alias("_end"),
         F.col(label).alias("_label"),
     )
-    rows = rows.join(small, "_label", "left").drop("_label")
+    rows = with_codes(rows, state_dim, "_label", similarity).drop("_label")
     schema = f"{entity} bigint, {PID} int, " + ", ".join(f"{c} bigint" for c in _COLS) + ", edge boolean"
     found = Scratch(df.sparkSession, "runs").put(range_sweep(rows, [entity], ["_seq"], _machine(entity, max_gap_ns), schema))
     # Two runs a task at most, whatever the data.
