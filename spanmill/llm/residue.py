@@ -33,7 +33,9 @@ BLOCKS = 5
 NOTICE_WORDS = 30
 
 _CODE = re.compile(r"(?ms)^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[ \t]*$|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|`[^`\n]+`")
-_SPACE = re.compile(r"\s+")
+_DIGIT = re.compile(r"\d+")
+#: Hexadecimal runs after numbers became 0; one with both kinds of digits is an id.
+_HEX = re.compile(r"(?<![a-z0])[a-f0]{3,}(?![a-z0])")
 # Only real markup: <topic here> and the like are placeholders and stay.
 _MARKUP = re.compile(
     r"</?(?:a|abbr|b|blockquote|body|br|center|div|em|font|h[1-6]|head|hr|html|i|img|li|main|meta|ol|p|section|small|span|strong|sub|sup|table|tbody|td|th|title|tr|u|ul)(?:\s[^<>]*)?/?>", re.I
@@ -138,13 +140,20 @@ def is_filler(m: str) -> bool:
 
 
 def without_code(text: str) -> str:
+    if "`" not in text and "~~~" not in text and "<pre" not in text and "<code" not in text:
+        return text
     return _CODE.sub(lambda m: " `` " if m.group(0)[0] == "`" and m.group(1) is None else "\n", text)
 
 
 def unit_lines(text: str) -> list[str]:
     """Lines outside code, without markup, compatibility forms folded."""
-    t = without_code(html.unescape(_BREAK.sub("\n", without_code(text))))
-    t = _MARKUP.sub("", t)
+    t = without_code(text)
+    if "<" in t:
+        t = _BREAK.sub("\n", t)
+    if "&" in t:
+        t = without_code(html.unescape(t))
+    if "<" in t:
+        t = _MARKUP.sub("", t)
     if not t.isascii():
         t = unicodedata.normalize("NFKC", _INVISIBLE.sub("", t)) if "…" not in t else _INVISIBLE.sub("", t)
     out = []
@@ -155,11 +164,16 @@ def unit_lines(text: str) -> list[str]:
     return out
 
 
+def _without_id(m: re.Match) -> str:
+    return "0" if "0" in m.group(0) else m.group(0)
+
+
 def masked(line: str) -> str:
     """Lower case, numbers as 0, ids and a stamp at the end taken off."""
-    t = _STAMP.sub("", line)
-    t = re.sub(r"\b(?=[0-9a-f]*\d)[0-9a-f]{5,}\b", "0", t.lower())
-    return _SPACE.sub(" ", re.sub(r"\d+", "0", t)).strip()
+    t = (_STAMP.sub("", line) if line[-1] in "])" or line[-1].isspace() else line).lower()
+    if _DIGIT.search(t):
+        t = _HEX.sub(_without_id, _DIGIT.sub("0", t))
+    return " ".join(t.split())
 
 
 def is_residue(line: str, m: str) -> bool:
@@ -216,19 +230,28 @@ def units(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-def simhash(text: str) -> int:
-    """64-bit SimHash of the character 4-grams of a unit."""
-    raw = np.frombuffer((" " + text + " ").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(raw) < 4:
-        raw = np.pad(raw, (0, 4 - len(raw)))
-    n = len(raw) - 3
-    h = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(4):
-            h = (h ^ raw[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n).view(np.int64)[0])
+def simhashes(texts: list[str], chunk: int = 256) -> np.ndarray:
+    """64-bit SimHashes of the character 4-grams of units, many at a time."""
+    out = [np.zeros(0, dtype=np.int64)]
+    for i in range(0, len(texts), chunk):
+        part = [f" {t} ".ljust(4) for t in texts[i : i + chunk]]
+        raw = np.frombuffer("".join(part).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        sizes = np.array([len(t) for t in part])
+        at = np.cumsum(sizes) - sizes
+        h = np.zeros(len(raw) - 3, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(4):
+                h = (h ^ raw[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+        # windows that begin in the last three characters belong to two units
+        inside = np.ones(len(raw), dtype=bool)
+        for k in (1, 2, 3):
+            inside[at + sizes - k] = False
+        bits = np.unpackbits(h[inside[: len(h)]].view(np.uint8).reshape(-1, 8), axis=1)
+        n = sizes - 3
+        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+        out.append(np.packbits(2 * ones > n[:, None], axis=1).view(np.int64).ravel())
+    return np.concatenate(out)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +268,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        h = [simhash(u) for u in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.int64())], names=["h", "unit", "sure", "sim"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(simhashes(b.column(1).to_pylist()))], names=["h", "unit", "sure", "sim"])
 
 
 def _table_keys(sim, max_distance: int, blocks: int):
