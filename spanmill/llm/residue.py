@@ -149,7 +149,7 @@ def unit_lines(text: str) -> list[str]:
     """Lines outside code, without markup, compatibility forms folded."""
     t = without_code(text)
     if "<" in t:
-        t = _BREAK.sub("\n", t)
+        t = without_code(_BREAK.sub("\n", t))
     if "&" in t:
         t = without_code(html.unescape(t))
     if "<" in t:
