@@ -175,17 +175,19 @@ def rank_lists(elements: DataFrame, scratch: Scratch) -> DataFrame:
             F.col("node").alias("next_node"), F.col("side").alias("next_side"), F.col("next_node").alias("n2"), F.col("next_side").alias("s2"),
             F.col("ahead").alias("a2"), F.col("balance").alias("b2"), F.col("stop").alias("stop2"),
         )
+        # whoever has come to a list's end stays there: ends count as splitters
+        end = F.col("n2").isNull()
         moved = walking.join(far, ["next_node", "next_side"]).select(
-            "node", "side", F.col("n2").alias("next_node"), F.col("s2").alias("next_side"),
-            (F.col("ahead") + F.col("a2")).alias("ahead"), (F.col("balance") + F.col("b2")).alias("balance"), "split", F.col("stop2").alias("stop"),
+            "node", "side", F.coalesce("n2", "next_node").alias("next_node"), F.coalesce("s2", "next_side").alias("next_side"),
+            F.when(end, F.col("ahead")).otherwise(F.col("ahead") + F.col("a2")).alias("ahead"),
+            F.when(end, F.col("balance")).otherwise(F.col("balance") + F.col("b2")).alias("balance"), "split", F.col("stop2").alias("stop"),
         )
         then = scratch.put(moved.unionByName(now.where("stop")))
         scratch.drop(now)
         now = then
-    # An element whose walk met the list's end has no next splitter.
     short = rank_lists(now.where("split").select("node", "side", "next_node", "next_side", "ahead", "balance"), scratch)
     onward = short.select(F.col("node").alias("next_node"), F.col("side").alias("next_side"), F.col("ahead").alias("a2"), F.col("balance").alias("b2"), "tail")
-    rest = now.where(~F.col("split")).join(onward, ["next_node", "next_side"], "left")
+    rest = now.where(~F.col("split")).join(onward, ["next_node", "next_side"])
     rest = rest.select("node", "side", (F.col("ahead") + F.col("a2")).alias("ahead"), (F.col("balance") + F.col("b2")).alias("balance"), "tail")
     return scratch.put(rest.unionByName(short))
 
