@@ -71,6 +71,7 @@ def outlier_cutoff(values: DataFrame, value: str, row_id: str) -> DataFrame:
     Only the ranks that are needed are looked up, in a balanced global ranking.
     """
     rows = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), row_id).withColumn("_one", F.lit(1).cast("bigint"))
+    rows = Scratch(values.sparkSession, "outliers").put(rows)
     ranked = balanced_prefix(rows, [], ["v", row_id], "_one", Scratch(values.sparkSession, "quartiles"))
     # ranks are from 1; a half has n div 2 values
     r = ranked.select("*", rows.agg(F.count("*")).scalar().alias("n"), rows.agg(F.min("v")).scalar().alias("least")).withColumn("h", F.expr("n div 2"))

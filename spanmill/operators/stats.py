@@ -14,17 +14,17 @@ def duration() -> Column:
     return F.col("end_ns") - F.col("start_ns")
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, row_id: str) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, row_id: str, sizes: DataFrame | None = None) -> DataFrame:
     """(keys, median): the middle value, or the mean of both middles.
 
     Ranks come from a balanced sweep over (keys, value), so neither one key nor
     one value is a long task; percentile() would gather a key's values in one
-    buffer.
+    buffer. `sizes` may give the rows per key as _n, if they are known.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value, row_id).withColumn("_one", F.lit(1).cast("bigint"))
     scratch = Scratch(df.sparkSession, "median")
     ranked = balanced_prefix(rows, keys, [value, row_id], "_one", scratch)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")) if sizes is None else sizes
     same = [ranked[k].eqNullSafe(sizes[k]) for k in keys]
     middle = ranked.join(sizes, same).where("run = (_n + 1) div 2 or run = (_n + 2) div 2")
     return middle.groupBy(*[ranked[k] for k in keys]).agg(F.avg(F.col(value).cast("double")).alias("median_ns"))
@@ -36,11 +36,12 @@ def compute_statistics(spans: DataFrame, keys: list[str], row_id: str = "span_id
     Rows must be distinct. Spans without an end, or that end before they
     start, are left out. Null keys are a key.
     """
-    rows = spans.where("end_ns >= start_ns").select(*keys, row_id, duration().alias("_d"))
+    # written once: the statistics, the sampling of split points and the ranking all read it
+    rows = Scratch(spans.sparkSession, "statistics").put(spans.where("end_ns >= start_ns").select(*keys, row_id, duration().alias("_d")))
     agg = rows.groupBy(*keys).agg(
         F.count("*").alias("cnt"), F.min("_d").alias("min_ns"), F.max("_d").alias("max_ns"), F.sum("_d").alias("total_ns"), F.avg(F.col("_d").cast("double")).alias("average_ns")
     )
-    med = exact_median(rows, keys, "_d", row_id)
+    med = exact_median(rows, keys, "_d", row_id, agg.select(*keys, F.col("cnt").alias("_n")))
     out = agg.join(med, [agg[k].eqNullSafe(med[k]) for k in keys])
     return out.select(*[agg[k] for k in keys], "cnt", "min_ns", "max_ns", "total_ns", "average_ns", "median_ns")
 

@@ -388,7 +388,7 @@ cut AS (SELECT q3 + 2.5 * (q3 - q1) AS c FROM q), w AS (SELECT CAST(max(v) AS DO
 SELECT CASE WHEN v >= c THEN 100 ELSE CAST(least(floor(v / w), 99) AS BIGINT) END AS bin, count(*) AS n FROM d, w GROUP BY 1"""
 )
 def hist_outlier(spark, sf_dir):
-    d = _durations(spark, sf_dir)
+    d = Scratch(spark, "durations").put(_durations(spark, sf_dir))
     return bins.histogram(d, "v", cutoff=bins.outlier_cutoff(d, "v", "span_id")).select("bin", "n")
 
 
