@@ -692,3 +692,115 @@ def goroutine_labels(spark, sf_dir):
 @query(f"WITH {_NAMED} SELECT regexp_replace(lower(state), '[^a-z0-9]', '', 'g') AS state_key, count(*) AS n FROM n WHERE state IS NOT NULL GROUP BY 1")
 def states_by_key(spark, sf_dir):
     return _named(spark, sf_dir).where("state is not null").groupBy(state_key(F.col("state")).alias("state_key")).agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------ summaries and views
+@query(
+    f"""WITH {_SPANS}, {_GOR}, x AS (SELECT s.container_id, s.end_ns - s.start_ns AS d, coalesce(gor.func IN {_GC_FUNCS}, false) AS gc FROM s LEFT JOIN trace_events e ON s.start_event = e.event_id LEFT JOIN gor ON gor.g_id = e.trans.res_id WHERE s.container = 'P' AND s.end_ns >= s.start_ns),
+t AS (SELECT max(ts) - min(ts) AS total FROM trace_events)
+SELECT container_id, CAST(coalesce(sum(CASE WHEN NOT gc THEN d END), 0) AS BIGINT) AS user_ns, CAST(coalesce(sum(CASE WHEN gc THEN d END), 0) AS BIGINT) AS gc_ns, CAST(total - sum(d) AS BIGINT) AS idle_ns FROM x, t GROUP BY container_id, total"""
+)
+def proc_summary(spark, sf_dir):
+    """Time of each processor in user code and in the collector, and the rest of the trace."""
+    s = tables.spans(spark, sf_dir, "container", "container_id", "start_event", "start_ns", "end_ns").where("container = 'P' and end_ns >= start_ns")
+    events = table(spark, sf_dir, "trace_events")
+    e = events.select(F.col("event_id").alias("start_event"), F.col("trans.res_id").alias("g_id"))
+    g = tables.goroutines(spark, sf_dir).select("g_id", F.col("func").isin("runtime.bgscavenge", "runtime.bgsweep", "runtime.gcBgMarkWorker").alias("gc"))
+    x = s.join(e, "start_event", "left").join(g, "g_id", "left").withColumn("gc", F.coalesce("gc", F.lit(False))).withColumn("d", stats.duration())
+    total = events.agg(F.max("ts") - F.min("ts")).scalar()
+    z = lambda c: F.coalesce(F.sum(F.when(c, F.col("d"))), F.lit(0))
+    one = x.groupBy("container_id").agg(z(~F.col("gc")).alias("user_ns"), z(F.col("gc")).alias("gc_ns"), F.sum("d").alias("_d"))
+    return one.select("container_id", "user_ns", "gc_ns", (total - F.col("_d")).alias("idle_ns"))
+
+
+@query(f"WITH {_SPANS} SELECT track, min(start_ns) AS lo, max(coalesce(end_ns, start_ns)) AS hi FROM s WHERE container_id IN (1, 3, 5) AND container = 'G' GROUP BY 1")
+def zoom_to_fit(spark, sf_dir):
+    """Extent of the tracks in view: those of three goroutines."""
+    s = tables.spans(spark, sf_dir, "container", "container_id", "track", "start_ns", "end_ns").where("container = 'G' and container_id in (1, 3, 5)")
+    return s.groupBy("track").agg(F.min("start_ns").alias("lo"), F.max(F.coalesce("end_ns", "start_ns")).alias("hi"))
+
+
+@query(
+    f"""WITH {_LOG}, x AS (SELECT g, ts // 86400000000000 AS day, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, min(kind) AS a, max(kind) AS b FROM lg GROUP BY 1, 2)
+SELECT g, day, n, first_ts - 1 AS lo, last_ts + 1 AS hi, CASE WHEN a = b THEN a ELSE 'events' END AS label FROM x"""
+)
+def event_groups(spark, sf_dir):
+    """Events per goroutine and day: number, zoom range, and their common kind or 'events'."""
+    e = tables.log(spark, sf_dir)
+    x = e.groupBy("g", F.expr("ts div 86400000000000").alias("day")).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.min("kind").alias("k1"), F.max("kind").alias("k2"))
+    return x.select("g", "day", "n", (F.col("a") - 1).alias("lo"), (F.col("b") + 1).alias("hi"), F.when(F.col("k1") == F.col("k2"), F.col("k1")).otherwise("events").alias("label"))
+
+
+@query(
+    f"""WITH {_LOG}, p AS (SELECT g, event_id, ts, lag(ts) OVER (PARTITION BY g ORDER BY ts, event_id) AS pt FROM lg WHERE event_id % 7 = 0),
+r AS (SELECT *, sum(CASE WHEN pt IS NULL OR ts - pt >= 60000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY ts, event_id) AS run FROM p)
+SELECT g, min(ts) AS start_ns, max(ts) AS end_ns, count(*) AS n FROM r GROUP BY g, run"""
+)
+def sample_track(spark, sf_dir):
+    """Samples of each goroutine as points, merged where they are less than a minute apart."""
+    p = tables.log(spark, sf_dir).where("event_id % 7 = 0").select("g", F.col("event_id").alias("span_id"), F.col("ts").alias("start_ns"), F.col("ts").alias("end_ns"))
+    return bins.merge_tiny(p, ["g"], 60_000_000_000)
+
+
+@query(
+    """SELECT l_orderkey AS task_id, l_linenumber AS region, coalesce(o_orderpriority, 'task ' || l_orderkey) AS task_name, c_name AS created_by FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey"""
+)
+def region_tasks(spark, sf_dir):
+    """Regions with their task's name, or its id for a stub, and who created the task."""
+    i, o, c = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    j = i.join(o, i.l_orderkey == o.o_orderkey, "left").join(c, o.o_custkey == c.c_custkey, "left")
+    name = F.coalesce("o_orderpriority", F.concat(F.lit("task "), F.col("l_orderkey")))
+    return j.select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("region"), name.alias("task_name"), F.col("c_name").alias("created_by"))
+
+
+@query("SELECT o_orderkey AS task_id, coalesce(o_orderpriority, '') AS name, epoch_us(o_orderdate) * 1000 AS start_ns FROM orders ORDER BY name, start_ns DESC, task_id")
+def task_sorted(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    t = o.select(F.col("o_orderkey").alias("task_id"), F.coalesce("o_orderpriority", F.lit("")).alias("name"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("start_ns"))
+    return t.orderBy("name", F.desc("start_ns"), "task_id")
+
+
+@query(f"WITH {_NAMED}, st AS ({_stat_sql('state', 'n')}) SELECT * FROM st ORDER BY total_ns DESC, state")
+def stats_sorted(spark, sf_dir):
+    return _rounded(stats.compute_statistics(_named(spark, sf_dir, "start_ns", "end_ns"), ["state"])).orderBy(F.desc("total_ns"), "state")
+
+
+@query(f"WITH {_M}, a AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM m GROUP BY 1) SELECT series_id, lo, min(CASE WHEN value = lo THEN ts END) AS lo_ts, hi, min(CASE WHEN value = hi THEN ts END) AS hi_ts FROM m JOIN a USING (series_id) GROUP BY series_id, lo, hi")
+def arg_extremes(spark, sf_dir):
+    """Lowest and highest value of each series with the first time at which it was read."""
+    m = _points(spark, sf_dir)
+    lo, hi = F.min(F.struct("value", "ts")).alias("a"), F.max(F.struct("value", (-F.col("ts")).alias("t"))).alias("b")
+    return m.groupBy("series_id").agg(lo, hi).select("series_id", F.col("a.value").alias("lo"), F.col("a.ts").alias("lo_ts"), F.col("b.value").alias("hi"), (-F.col("b.t")).alias("hi_ts"))
+
+
+@query(
+    """SELECT DISTINCT series_id, step_ns, CAST(floor(log2(step_ns / 1000.0)) AS BIGINT) AS level, CAST(pow(10.0, ceil(log10(step_ns * 20))) AS BIGINT) AS tick_ns, format('{:,}', step_ns) || ' ns' AS shown FROM plot_series"""
+)
+def axis(spark, sf_dir):
+    """Zoom level, tick interval and label of each series' step."""
+    s = table(spark, sf_dir, "plot_series").select("series_id", "step_ns").distinct()
+    c = F.col("step_ns")
+    return s.select("series_id", "step_ns", text.zoom_level(c, 1000).alias("level"), text.tick_interval(c, 20).alias("tick_ns"), text.timestamp_text(c).alias("shown"))
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT func, regexp_extract(func, '^((?:.*/)?[^./]*)', 1) AS package FROM (SELECT unnest(funcs) AS func FROM stacks))
+SELECT CASE WHEN package = 'runtime' THEN 'runtime' WHEN package = 'main' THEN 'main' WHEN NOT contains(split_part(package, '/', 1), '.') THEN 'stdlib' ELSE 'third-party' END AS class, count(*) AS n FROM f GROUP BY 1"""
+)
+def package_classes(spark, sf_dir):
+    f = table(spark, sf_dir, "stacks").select(F.explode("funcs").alias("func")).distinct()
+    return f.groupBy(text.package_class(F.col("func")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SPANS}, {_GOR} SELECT gor.g_id FROM gor WHERE g_id NOT IN (SELECT container_id FROM s WHERE container = 'G')")
+def without_spans(spark, sf_dir):
+    """Goroutines that no span names."""
+    g, s = tables.goroutines(spark, sf_dir), tables.spans(spark, sf_dir, "container", "container_id").where("container = 'G'")
+    return g.join(s, g.g_id == s.container_id, "left_anti").select("g_id")
+
+
+@query(f"WITH {_GOR}, x AS (SELECT g_id, eff_end - eff_start AS d FROM gor) SELECT g_id, d AS duration_ns FROM x WHERE d >= 1000000 AND d <= 100000000000000")
+def goroutines_in_range(spark, sf_dir):
+    """Goroutines whose duration lies in a range picked in a histogram, both ends included."""
+    g = tables.goroutines(spark, sf_dir).select("g_id", (F.col("eff_end") - F.col("eff_start")).alias("duration_ns"))
+    return g.where("duration_ns >= 1000000 and duration_ns <= 100000000000000")
