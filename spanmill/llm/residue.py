@@ -2,10 +2,11 @@
 
 Texts are cut into units (lines outside code). Rules label units that can be
 nothing else as trusted residue. Distinct units are then searched for near
-duplicates of labelled ones through partitioned SimHash tables; pairs whose
-Hamming distance and text similarity agree carry the label on, until no unit
-gains one: what is labelled in the end is the connected components of the
-near-duplicate graph that hold a trusted unit.
+duplicates of labelled ones: units share a key where they hold the same one of
+their rarest 4-grams, of which so many are kept that no pair of the stated
+similarity is missed. The similarity of the texts alone decides, and carries
+the label on, until no unit gains one: what is labelled in the end is the
+connected components of the near-duplicate graph that hold a trusted unit.
 """
 
 from __future__ import annotations
@@ -24,9 +25,13 @@ from ..operators.sweep import column
 from ..session import Scratch
 from .text import _INVISIBLE
 
-#: Near duplicates: Hamming distance of the SimHashes and similarity of the texts.
-MAX_DISTANCE = 3
+#: Near duplicates: similarity (Jaccard) of the texts' 4-grams.
 MIN_SIMILARITY = 0.8
+#: Buckets of 4-grams whose frequencies order them, and one unit in so many is counted for that.
+GRAM_BUCKETS = 1 << 16
+COUNTED = 8
+#: Hamming distance of SimHashes that the partitioned tables of `_table_keys` miss no pair of; find_residue doesn't rest on it.
+MAX_DISTANCE = 3
 #: A SimHash is cut into so many blocks; a table is keyed by all blocks but MAX_DISTANCE.
 BLOCKS = 5
 #: Units longer than this many words are prose unless a rule of their start says otherwise.
@@ -266,9 +271,84 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(unit, pa.string()), pa.array(sure, pa.bool_())], names=["doc_id", "unit", "sure"])
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text, hash) of the character 4-grams of texts, repeats included.
+
+    Texts shorter than four characters are one gram, as in `_alike`.
+    """
+    part = [t.ljust(4, "\0") for t in texts]
+    raw = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in part], dtype=np.int64)
+    if not len(raw):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    h = np.zeros(len(raw) - 3, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(4):
+            h = (h ^ raw[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+    at = np.cumsum(sizes)
+    inside = np.ones(len(raw), dtype=bool)
+    for k in (1, 2, 3):
+        inside[at - k] = False
+    inside = inside[: len(h)]
+    return np.repeat(np.arange(len(part)), sizes - 3), h[inside]
+
+
+def prefix_keys(texts: list[str], rank: np.ndarray, least: float, chunk: int = 256) -> tuple[list[np.ndarray], list[int]]:
+    """Keys of each text, and how many distinct 4-grams it has.
+
+    Grams are put into one order, rare buckets first. Of n grams the first
+    n - ceil(least * n) + 1 are keys: two texts of Jaccard similarity `least`
+    or more have at least ceil(least * n) grams in common, so one of their
+    keys. The order decides about speed only.
+    """
+    keys, sizes = [], []
+    for i in range(0, len(texts), chunk):
+        part = texts[i : i + chunk]
+        unit, h = gram_hashes(part)
+        # rank (16 bits) and the other 48 bits of the hash: one to one
+        o = (rank[h & np.uint64(GRAM_BUCKETS - 1)].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+        by = np.lexsort((o, unit))
+        unit, o = unit[by], o[by]
+        first = np.ones(len(o), dtype=bool)
+        first[1:] = (unit[1:] != unit[:-1]) | (o[1:] != o[:-1])
+        unit, o = unit[first], o[first].view(np.int64)
+        n = np.bincount(unit, minlength=len(part))
+        at = np.cumsum(n) - n
+        take = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+        keys += [o[a : a + t] for a, t in zip(at, np.minimum(take, n))]
+        sizes += n.tolist()
+    return keys, sizes
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(GRAM_BUCKETS, dtype=np.int64)
+    for b in batches:
+        texts = b.column(0).to_pylist()
+        for i in range(0, len(texts), 256):
+            h = gram_hashes(texts[i : i + 256])[1]
+            n += np.bincount((h & np.uint64(GRAM_BUCKETS - 1)).astype(np.int64), minlength=GRAM_BUCKETS)
+    seen = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen])], names=["bucket", "n"])
+
+
+def _ranks(units: DataFrame) -> np.ndarray:
+    """Place of each bucket of grams, rare ones first: at most GRAM_BUCKETS rows whatever the corpus."""
+    counted = units.where(F.pmod("h", F.lit(COUNTED)) == 0).select("unit").mapInArrow(_counted, "bucket int, n bigint")
+    n = np.zeros(GRAM_BUCKETS, dtype=np.int64)
+    for r in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        n[r.bucket] = r.n
+    rank = np.empty(GRAM_BUCKETS, dtype=np.uint16)
+    rank[np.argsort(n, kind="stable")] = np.arange(GRAM_BUCKETS, dtype=np.uint16)
+    return rank
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], rank: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(simhashes(b.column(1).to_pylist()))], names=["h", "unit", "sure", "sim"])
+        keys, sizes = prefix_keys(b.column(1).to_pylist(), rank, least)
+        ends = np.cumsum([0, *map(len, keys)])
+        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["h", "unit", "sure", "n", "keys"])
 
 
 def _table_keys(sim, max_distance: int, blocks: int):
@@ -302,9 +382,7 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([h], names=["h"])
 
 
-def find_residue(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE, similarity: float = MIN_SIMILARITY, blocks: int = BLOCKS
-) -> DataFrame:
+def find_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(doc_id, n_units): documents with residue, and how many of its units are.
 
     Null and empty texts have no units; repeated rows count once; rows with a
@@ -314,20 +392,26 @@ def find_residue(
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     cut = scratch.put(rows.mapInArrow(_cut, "doc_id bigint, unit string, sure boolean").withColumn("h", F.xxhash64("unit")))
     distinct = cut.groupBy("h", "unit").agg(F.max("sure").alias("sure")).select("h", "unit", "sure")
-    known = scratch.put(distinct.mapInArrow(_hashed, "h bigint, unit string, sure boolean, sim bigint"))
-    tables = known.select("h", "sim", F.explode(_table_keys(F.col("sim"), max_distance, blocks)).alias("key"))
-    labelled = known.where("sure").select("h")
-    newest = known.where("sure").select("h", "unit", "sim")
+    rank = _ranks(cut)
+    known = scratch.put(distinct.mapInArrow(lambda it: _keyed(it, rank, similarity), "h bigint, unit string, sure boolean, n int, keys array<bigint>"))
+    tables = known.where("not sure").select("h", "n", F.explode("keys").alias("key"))
+    newest = known.where("sure").select("h", "unit", "n", "keys")
+    labelled = newest.select("h")
+    gains = None
+    size = f"n >= {similarity} * n0 - 1e-9 and n0 >= {similarity} * n - 1e-9"
     while True:
-        front = newest.select(F.col("h").alias("h0"), F.col("sim").alias("sim0"), F.explode(_table_keys(F.col("sim"), max_distance, blocks)).alias("key"))
-        near = front.join(tables, "key").where((F.col("h") != F.col("h0")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim0"))) <= max_distance))
-        pairs = near.select("h0", "h").distinct().join(labelled.withColumn("_l", F.lit(True)), "h", "left_anti")
+        front = newest.select(F.col("h").alias("h0"), F.col("n").alias("n0"), F.explode("keys").alias("key"))
+        pairs = front.join(tables, "key").where(size).select("h0", "h").distinct()
+        if gains is not None:
+            pairs = pairs.join(gains, "h", "left_anti")
         texts = pairs.join(known.select("h", "unit"), "h").join(newest.select(F.col("h").alias("h0"), F.col("unit").alias("unit0")), "h0").select("h", "unit", "unit0")
         gained = scratch.put(texts.mapInArrow(lambda it: _alike(it, similarity), "h bigint").distinct())
         if gained.isEmpty():
             break
-        newest = known.join(gained, "h", "left_semi").select("h", "unit", "sim")
-        labelled = scratch.put(labelled.unionByName(gained))
+        newest = known.join(gained, "h", "left_semi").select("h", "unit", "n", "keys")
+        gains = gained if gains is None else scratch.put(gains.unionByName(gained))
+    if gains is not None:
+        labelled = labelled.unionByName(gains)
     hit = cut.where("sure").select("doc_id", "h").unionByName(cut.where("not sure").join(labelled, "h", "left_semi").select("doc_id", "h"))
     return hit.distinct().groupBy("doc_id").agg(F.count("*").alias("n_units"))
 

@@ -270,3 +270,37 @@ def test_simhash_tables_miss_no_close_pair(spark):
 
     hit = df.where(F.arrays_overlap(residue._table_keys(F.col("a"), 3, 5), residue._table_keys(F.col("b"), 3, 5)))
     assert hit.count() == 300
+
+
+def test_every_pair_of_the_stated_similarity_is_found(spark):
+    """Reworded notices that no rule knows, however far their SimHashes are apart."""
+    rng = random.Random(3)
+    grams = lambda s: {s[i : i + 4] for i in range(max(1, len(s) - 3))}
+    base = "fatal error: the render service met an unexpected condition while it was building the page and gave up before any part of the thread could be shown here"
+    texts = [base]
+    while len(texts) < 60:
+        w = base.removeprefix("fatal error: ").split()
+        for k in rng.sample(range(len(w)), rng.choice((1, 2))):
+            w[k] = rng.choice(("module", "quietly", "seven", "gateway"))
+        texts.append(" ".join(w))
+    assert not any(sure for t in texts[1:] for _, sure in residue.units(t))
+    alike = lambda a, b: len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))
+    found, new = {0}, {0}
+    while new:
+        new = {i for i, t in enumerate(texts) if i not in found and any(alike(t, texts[j]) for j in new)}
+        found |= new
+    assert len(found) > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.find_residue(df).collect()} == found
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc é", min_size=0, max_size=30), min_size=2, max_size=6), st.integers(0, 9))
+def test_prefix_keys_miss_no_alike_pair(texts, seed):
+    rank = np.random.default_rng(seed).permutation(residue.GRAM_BUCKETS).astype(np.uint16)
+    keys, _ = residue.prefix_keys(texts, rank, 0.8)
+    grams = lambda s: {s[i : i + 4] for i in range(max(1, len(s) - 3))}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)):
+                assert set(keys[i].tolist()) & set(keys[j].tolist())
