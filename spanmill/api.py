@@ -47,6 +47,10 @@ class TraceDataset:
         counted = moves.groupBy("stack_id", state.alias("state")).agg(F.count("*").alias("w")).where("state is not null")
         return stacks.flame(counted.join(self.stacks, "stack_id"), F.col("state"), F.col("w"))
 
+    def stack_tracks(self, level: int | None = None) -> DataFrame:
+        """One row per goroutine, level and run of equal frames; all levels, or one."""
+        return stacks.stack_tracks(self.events, self.stacks, level)
+
     def histogram(self, df: DataFrame, value: str, n_bins: int = 100, reject_outliers: bool = False, row_id: str = "span_id") -> DataFrame:
         return bins.histogram(df, value, n_bins, cutoff=bins.outlier_cutoff(df, value, row_id) if reject_outliers else None)
 

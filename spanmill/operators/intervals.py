@@ -57,6 +57,36 @@ def goroutine_spans(events: DataFrame) -> DataFrame:
     )
 
 
+def stack_entries(events: DataFrame, stacks: DataFrame) -> DataFrame:
+    """(g, event_id, start_ns, end_ns, state, funcs): what a goroutine's stack tracks show, funcs leaf first.
+
+    State spans ('stack') and CPU samples ('CPU sample'). Transitions to
+    Running have no stack of their own, and that of an unblocking belongs to
+    another goroutine: neither is shown. A sample ends with the next span or
+    sample of its goroutine, shown or not, the last one with its last span.
+    Samples lose their outermost runtime.goexit and runtime.main, stacks all but
+    the innermost 64 frames. Goroutines of runtime.bgsweep have no tracks.
+    """
+    moves = goroutine_transitions(events)
+    hidden = F.coalesce((F.col("to_state") == "Running") | ((F.col("from_state") == "Waiting") & (F.col("to_state") == "Runnable")), F.lit(False))
+    about = moves.select(F.col("event_id").alias("start_event"), F.col("ts"), "stack_id", hidden.alias("hidden"))
+    spans = goroutine_spans(events).select("g", "start_event", "end_ns").join(about, "start_event")
+    spans = spans.select("g", F.col("start_event").alias("event_id"), "ts", "end_ns", "stack_id", F.lit("stack").alias("state"), "hidden")
+    samples = events.where("kind = 'StackSample' and g is not null")
+    samples = samples.select("g", "event_id", "ts", F.lit(None).cast("bigint").alias("end_ns"), "stack_id", F.lit("CPU sample").alias("state"), F.lit(False).alias("hidden"))
+    both = Scratch(events.sparkSession, "entries").put(spans.unionByName(samples))
+    paired = balanced_next(both, ["g"], ["event_id"], ["ts"], Scratch(events.sparkSession, "entry-ends"), extra=["ts", "end_ns", "stack_id", "state", "hidden"])
+    last = both.where("state = 'stack'").groupBy("g").agg(F.max_by("end_ns", "event_id").alias("last_ns"))
+    swept = goroutine_functions(events, stacks).where("func = 'runtime.bgsweep'").select("g")
+    shown = paired.where("not hidden").join(last, "g", "left").join(swept, "g", "left_anti").join(stacks, "stack_id")
+    trace_end = trace_extent(events).select("trace_end").scalar()
+    trim = lambda c, name: F.when(F.try_element_at(c, F.lit(-1)) == name, F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c)
+    funcs = F.when(F.col("state") == "CPU sample", trim(trim(F.col("funcs"), "runtime.goexit"), "runtime.main")).otherwise(F.col("funcs"))
+    return shown.select(
+        "g", "event_id", F.col("ts").alias("start_ns"), F.coalesce("end_ns", "next_ts", "last_ns", trace_end).alias("end_ns"), "state", F.slice(funcs, 1, 64).alias("funcs")
+    )
+
+
 def processor_spans(events: DataFrame) -> DataFrame:
     """Processor spans (p, start_ns, end_ns, start_event, state) from transitions that name a processor.
 

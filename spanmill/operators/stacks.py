@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PATTERNS, TAG_ORDER, TAGS
+from . import bins, intervals
 
 
 def apply_patterns(spans: DataFrame, patterns=PATTERNS) -> DataFrame:
@@ -81,3 +82,19 @@ def stack_text(funcs: Column, limit: int) -> Column:
     hidden = F.concat(F.lit("["), (n - limit).cast("string"), F.lit(" frames hidden]"))
     short = F.concat(F.slice(funcs, 1, top), F.array(hidden), F.slice(funcs, -bottom, bottom))
     return F.array_join(F.when(n > limit, short).otherwise(funcs), "\n")
+
+
+def stack_tracks(events: DataFrame, stacks: DataFrame, level: int | None = None) -> DataFrame:
+    """(g, level, func, state, start_ns, end_ns, n_samples): stack tracks, levels from the outermost kept frame.
+
+    Entries of a level that touch and agree in function and state are one row;
+    n_samples is how many CPU samples it stands for.
+    """
+    e = intervals.stack_entries(events, stacks)
+    n = F.size("funcs")
+    at = e.select("g", "event_id", "start_ns", "end_ns", "state", n.alias("_n"), F.posexplode("funcs").alias("_i", "func"))
+    rows = at.select("g", (F.col("_n") - F.col("_i") - 1).cast("bigint").alias("level"), "event_id", "start_ns", "end_ns", "state", "func")
+    if level is not None:
+        rows = rows.where(F.col("level") == level)
+    runs = bins.contiguous_runs(rows, ["g", "level"], ["event_id"], "start_ns", "end_ns", ["func", "state"])
+    return runs.select("g", "level", "func", "state", "start_ns", "end_ns", F.when(F.col("state") == "CPU sample", F.col("n")).otherwise(0).cast("bigint").alias("n_samples"))

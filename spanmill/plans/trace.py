@@ -453,6 +453,7 @@ r AS (SELECT *, sum(CASE WHEN pe = start_ns AND pst IS NOT DISTINCT FROM state T
 SELECT container_id, min(state) AS state, min(start_ns) AS start_ns, max(end_ns) AS end_ns, count(*) AS n FROM r GROUP BY container_id, run"""
 )
 def stack_islands(spark, sf_dir):
+    """State spans that touch and agree in state, without stacks; see stack_tracks for those."""
     s = _named(spark, sf_dir, "container_id", "start_ns", "end_ns").where("end_ns >= start_ns")
     return bins.contiguous_runs(s, ["container_id"], ["start_ns", "span_id"], "start_ns", "end_ns", ["state"])
 
@@ -468,6 +469,25 @@ def stack_extents(spark, sf_dir):
     return j.groupBy("g", (F.col("n") - F.col("i") - 1).cast("bigint").alias("level")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("func").alias("n_funcs"))
 
 
+@query(
+    f"""WITH {_MOVES}, sp AS (SELECT * FROM (SELECT m.*, coalesce(lead(ts) OVER (PARTITION BY g ORDER BY event_id), t1) AS e, t1 FROM m, ext) WHERE t <> 'NotExist'),
+en AS (SELECT g, event_id, ts, e, st, 'stack' AS state, t = 'Running' OR (f = 'Waiting' AND t = 'Runnable') AS hidden FROM sp
+  UNION ALL SELECT g, event_id, ts, NULL, stack_id, 'CPU sample', false FROM trace_events WHERE kind = 'StackSample' AND g IS NOT NULL),
+nx AS (SELECT *, lead(ts) OVER (PARTITION BY g ORDER BY event_id) AS nts FROM en), ls AS (SELECT g, arg_max(e, event_id) AS le FROM sp GROUP BY 1),
+bg AS (SELECT g FROM (SELECT g, arg_min(st, event_id) AS st FROM m WHERE st IS NOT NULL GROUP BY 1) x JOIN stacks ON x.st = stacks.stack_id WHERE funcs[-1] = 'runtime.bgsweep'),
+a AS (SELECT nx.g, event_id, ts, coalesce(e, nts, le, t1) AS e, state, CASE WHEN state = 'CPU sample' AND funcs[-1] = 'runtime.goexit' THEN funcs[:-2] ELSE funcs END AS funcs
+  FROM nx JOIN stacks ON nx.st = stacks.stack_id LEFT JOIN ls ON ls.g = nx.g, ext WHERE NOT hidden AND nx.g NOT IN (SELECT g FROM bg)),
+b AS (SELECT g, event_id, ts, e, state, (CASE WHEN state = 'CPU sample' AND funcs[-1] = 'runtime.main' THEN funcs[:-2] ELSE funcs END)[1:64] AS funcs FROM a),
+l AS (SELECT g, event_id, ts, e, state, unnest(funcs) AS func, len(funcs) - generate_subscripts(funcs, 1) AS level FROM b),
+p AS (SELECT *, lag(e) OVER w AS pe, lag(func) OVER w AS pf, lag(state) OVER w AS ps FROM l WINDOW w AS (PARTITION BY g, level ORDER BY event_id)),
+r AS (SELECT *, sum(CASE WHEN pe = ts AND pf = func AND ps = state THEN 0 ELSE 1 END) OVER (PARTITION BY g, level ORDER BY event_id) AS run FROM p)
+SELECT g, level, min(func) AS func, min(state) AS state, min(ts) AS start_ns, max(e) AS end_ns, CASE WHEN min(state) = 'CPU sample' THEN count(*) ELSE 0 END AS n_samples FROM r GROUP BY g, level, run"""
+)
+def stack_tracks(spark, sf_dir):
+    """Per goroutine and level: runs of the same frame, from spans and samples."""
+    return stacks.stack_tracks(table(spark, sf_dir, "trace_events"), table(spark, sf_dir, "stacks"))
+
+
 # ------------------------------------------------------------ stacks
 _PAT_CASES = []
 for _of, _abs, _any, _to, _at, _tag in PATTERNS:
