@@ -40,12 +40,13 @@ class TraceDataset:
         return stats.heat(self.busy(bucket_ns), y_size)
 
     def flame(self, g: int | None = None) -> DataFrame:
-        moves = intervals.goroutine_transitions(self.events).where("stack_id is not null and to_state <> 'NotExist'")
-        if g is not None:
-            moves = moves.where(F.col("g") == g)
-        state = intervals.transition_state(F.col("from_state"), F.col("to_state"), F.col("reason"))
-        counted = moves.groupBy("stack_id", state.alias("state")).agg(F.count("*").alias("w")).where("state is not null")
-        return stacks.flame(counted.join(self.stacks, "stack_id"), F.col("state"), F.col("w"))
+        """Samples that have a processor, by time; of one goroutine its samples and the time that it was blocked."""
+        on = stacks.on_cpu(self.events)
+        if g is None:
+            return stacks.weighted_flame(on.where("p is not null"), self.stacks)
+        off = stacks.off_cpu(self.events, self.stacks)
+        parts = on.select("g", "stack_id", "root", "w").unionByName(off.select("g", "stack_id", "root", "w"))
+        return stacks.weighted_flame(parts.where(F.col("g") == g), self.stacks)
 
     def stack_tracks(self, level: int | None = None) -> DataFrame:
         """One row per goroutine, level and run of equal frames; all levels, or one."""

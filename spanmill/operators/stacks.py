@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import PATTERNS, TAG_ORDER, TAGS
+from ..schema import OFF_CPU, PATTERNS, TAG_ORDER, TAGS
 from . import bins, intervals
 
 
@@ -64,6 +64,29 @@ def flame(samples: DataFrame, root: Column, weight: Column, funcs: str = "funcs"
     return at.groupBy(F.slice("path", F.lit(1), F.col("depth")).alias("path"), "depth").agg(F.sum("w").alias("duration"))
 
 
+def on_cpu(events: DataFrame) -> DataFrame:
+    """(g, p, stack_id, root, w): CPU samples under 'Running', each of the mean processor time per sample."""
+    samples = events.where("kind = 'StackSample'")
+    time = intervals.processor_spans(events).agg(F.sum(F.col("end_ns") - F.col("start_ns"))).scalar()
+    weight = F.round(F.try_divide(time, samples.agg(F.count("*")).scalar())).cast("bigint")
+    return samples.select("g", "p", "stack_id", F.lit("Running").alias("root"), weight.alias("w"))
+
+
+def off_cpu(events: DataFrame, stacks: DataFrame) -> DataFrame:
+    """(g, stack_id, root, w): durations of blocked spans under the root of their state, patterns applied."""
+    at = intervals.goroutine_transitions(events).select(F.col("event_id").alias("start_event"), "stack_id").where("stack_id is not null")
+    spans = intervals.goroutine_spans(events).select("g", "start_event", "state", (F.col("end_ns") - F.col("start_ns")).alias("w"))
+    named = apply_patterns(spans.join(at, "start_event").join(stacks, "stack_id"))
+    roots = F.create_map(*[F.lit(x) for kv in OFF_CPU.items() for x in kv])
+    return named.select("g", "stack_id", roots[F.col("new_state")].alias("root"), "w").where("root is not null")
+
+
+def weighted_flame(parts: DataFrame, stacks: DataFrame) -> DataFrame:
+    """The flame graph of (stack_id, root, w); stacks without frames count nowhere."""
+    one = parts.groupBy("stack_id", "root").agg(F.sum("w").alias("w"))
+    return flame(one.join(stacks.where("size(funcs) > 0"), "stack_id"), F.col("root"), F.col("w"))
+
+
 def flame_metrics(tree: DataFrame) -> DataFrame:
     """Adds self time, number of children and share of the parent."""
     up = tree.where("depth > 1").select(F.slice("path", F.lit(1), F.col("depth") - 1).alias("path"), F.col("duration").alias("d"))
@@ -71,7 +94,7 @@ def flame_metrics(tree: DataFrame) -> DataFrame:
     parents = tree.select(F.col("path").alias("up"), F.col("duration").alias("parent_duration"))
     out = tree.join(kids, "path", "left").withColumn("up", F.when(F.col("depth") > 1, F.slice("path", F.lit(1), F.col("depth") - 1)))
     out = out.join(parents, "up", "left")
-    return out.select("path", "depth", "duration", (F.col("duration") - F.coalesce("below", F.lit(0))).alias("self"), F.coalesce("n_children", F.lit(0)).alias("n_children"), F.try_divide(F.col("duration") * 100, "parent_duration").alias("pct_parent"))
+    return out.select("path", "depth", "duration", (F.col("duration") - F.coalesce("below", F.lit(0))).alias("self"), F.coalesce("n_children", F.lit(0)).alias("n_children"), F.try_divide(F.col("duration").cast("double") * 100, "parent_duration").alias("pct_parent"))
 
 
 def stack_text(funcs: Column, limit: int) -> Column:

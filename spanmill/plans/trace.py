@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.states import state_key, with_state_code
 from ..operators import bins, intervals, joins, stacks, stats
-from ..schema import LEGAL_NEXT, PATTERNS, TAG_ORDER, TAGS, WAIT_STATES
+from ..schema import LEGAL_NEXT, OFF_CPU, PATTERNS, TAG_ORDER, TAGS, WAIT_STATES
 from ..operators.sweep import balanced_prev
 from ..session import Scratch, table
 from ..sources import tables
@@ -529,6 +529,7 @@ def _flame(spark, sf_dir):
 
 @query(f"WITH {_FLAME} SELECT array_to_string(path, ';') AS path, CAST(depth AS BIGINT) AS depth, duration FROM tree")
 def flame_prefix(spark, sf_dir):
+    """Transitions counted by path; flame_prefix_time has their time."""
     return _flame(spark, sf_dir).select(F.array_join("path", ";").alias("path"), F.col("depth").cast("bigint").alias("depth"), "duration")
 
 
@@ -541,6 +542,38 @@ def flame_self(spark, sf_dir):
     return stacks.flame_metrics(_flame(spark, sf_dir)).select(F.array_join("path", ";").alias("path"), "self", "n_children", F.round("pct_parent", 6).alias("pct_parent"))
 
 
+_ROOT = "CASE new_state " + " ".join(f"WHEN '{_q(k)}' THEN '{_q(v)}'" for k, v in OFF_CPU.items()) + " END"
+_FLAME_TIME = f"""{_MOVES}, sp AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY g ORDER BY event_id), t1) - CASE WHEN f = 'Undetermined' THEN t0 ELSE ts END AS d FROM m, ext),
+b AS (SELECT {_STATE} AS state, d, funcs FROM sp JOIN stacks ON sp.st = stacks.stack_id WHERE t <> 'NotExist'), a AS (SELECT {_PAT_STATE} AS new_state, d, funcs FROM b),
+pr AS (SELECT coalesce(lead(ts) OVER (PARTITION BY p ORDER BY event_id), t1) - ts AS d FROM m, ext WHERE p IS NOT NULL AND t IN ('Running', 'Waiting', 'Syscall', 'NotExist')),
+sm AS (SELECT funcs FROM trace_events e JOIN stacks ON e.stack_id = stacks.stack_id WHERE kind = 'StackSample' AND g IS NOT NULL),
+w AS (SELECT CAST(round((SELECT sum(d) FROM pr) / nullif(count(*), 0)) AS BIGINT) AS w FROM trace_events WHERE kind = 'StackSample'),
+p AS (SELECT list_prepend(root, list_reverse(funcs)) AS path, sum(d) AS w FROM (SELECT {_ROOT} AS root, funcs, d FROM a UNION ALL SELECT 'Running', funcs, w FROM sm, w) WHERE root IS NOT NULL AND len(funcs) > 0 GROUP BY 1),
+f AS (SELECT path[1:d] AS path, d AS depth, w FROM (SELECT path, w, unnest(range(1, len(path) + 1)) AS d FROM p)),
+tree AS (SELECT path, depth, CAST(sum(w) AS BIGINT) AS duration FROM f GROUP BY 1, 2)"""
+
+
+def _flame_time(spark, sf_dir):
+    events, stack_table = table(spark, sf_dir, "trace_events"), table(spark, sf_dir, "stacks")
+    on, off = stacks.on_cpu(events).where("g is not null"), stacks.off_cpu(events, stack_table)
+    return stacks.weighted_flame(on.select("stack_id", "root", "w").unionByName(off.select("stack_id", "root", "w")), stack_table)
+
+
+@query(f"WITH {_FLAME_TIME} SELECT array_to_string(path, ';') AS path, CAST(depth AS BIGINT) AS depth, duration FROM tree")
+def flame_prefix_time(spark, sf_dir):
+    """Time of all goroutines by path: samples under 'Running', blocked spans under their root."""
+    return _flame_time(spark, sf_dir).select(F.array_join("path", ";").alias("path"), F.col("depth").cast("bigint").alias("depth"), "duration")
+
+
+@query(
+    f"""WITH {_FLAME_TIME}, k AS (SELECT path[1:depth - 1] AS path, CAST(sum(duration) AS BIGINT) AS below, count(*) AS nc FROM tree WHERE depth > 1 GROUP BY 1)
+SELECT array_to_string(t.path, ';') AS path, t.duration - coalesce(below, 0) AS self, coalesce(nc, 0) AS n_children, round(CAST(t.duration AS DOUBLE) * 100 / nullif(u.duration, 0), 6) AS pct_parent
+FROM tree t LEFT JOIN k ON t.path = k.path LEFT JOIN tree u ON t.depth > 1 AND u.path = t.path[1:t.depth - 1]"""
+)
+def flame_self_time(spark, sf_dir):
+    return stacks.flame_metrics(_flame_time(spark, sf_dir)).select(F.array_join("path", ";").alias("path"), "self", "n_children", F.round("pct_parent", 6).alias("pct_parent"))
+
+
 @query(
     """SELECT stack_id, CASE WHEN len(funcs) > 4 THEN array_to_string(funcs[1:2], chr(10)) || chr(10) || '[' || (len(funcs) - 4) || ' frames hidden]' || chr(10) || array_to_string(funcs[-2:], chr(10)) ELSE array_to_string(funcs, chr(10)) END AS stack FROM stacks"""
 )

@@ -23,6 +23,21 @@ WAIT_STATES = {
     "": "blocked (other)",
 }
 
+#: Root of a flame graph under which time in a state is shown; other states are not off the processor.
+OFF_CPU = {
+    "blocked (other)": "blocked",
+    "blocked (channel send)": "send",
+    "blocked (channel receive)": "recv",
+    "blocked (select)": "select",
+    "blocked (sync)": "sync",
+    "blocked (sync.Once)": "sync.Once",
+    "blocked (triggering GC)": "triggering GC",
+    "blocked (sync.Cond)": "sync.Cond",
+    "blocked (pollable I/O)": "I/O",
+    "blocked (GC)": "GC",
+    "blocked (syscall)": "blocking syscall",
+}
+
 #: Tag bits.
 TAGS = {"network": 1, "TCP": 2, "TLS": 4, "read": 8, "accept": 16, "dial": 32, "HTTP": 64, "GC": 128}
 #: The order in which tags are shown; GC is not.

@@ -34,3 +34,12 @@ def test_stack_tracks_join_equal_frames_by_level(spark):
         (1, 1, "b", "stack", 40, 1000, 0),
     }
     assert trace(spark, EVENTS).stack_tracks(1).count() == 3
+
+
+def test_flame_weighs_paths_by_time(spark):
+    t = trace(spark, EVENTS)
+    whole = {tuple(r.path): r.duration for r in t.flame(1).collect()}
+    # the processor has 1010 ns of spans and two samples; waits last 10 and 960 ns
+    assert whole[("Running",)] == 1010 and whole[("Running", "runtime.goexit", "runtime.main", "main", "a")] == 1010
+    assert whole[("select", "main", "a")] == 10 and whole[("blocking syscall", "main", "b")] == 960
+    assert {tuple(r.path)[0] for r in t.flame().collect()} == {"Running"}
