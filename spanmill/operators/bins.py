@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,14 +137,53 @@ def contiguous_runs(rows: DataFrame, keys: list[str], order: list[str], start: s
     return run.groupBy(*keys, "run").agg(*[F.min(c).alias(c) for c in same], F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("run")
 
 
-def decimate_area(points: DataFrame, keys: list[str], ts: str, value: str, min_area: float) -> DataFrame:
+def decimate_area_by_neighbours(points: DataFrame, keys: list[str], ts: str, value: str, min_area: float) -> DataFrame:
     """Points whose triangle with both neighbours has more than min_area, and the ends.
 
-    Neighbours are the points before and after in the input, so that the test
-    of one point does not wait for another's.
+    Neighbours are the points before and after in the input: a dense curve
+    loses all its inner points, however far it bends. See decimate_area.
     """
     rows = points.where(F.col(value).isNotNull()).select(*keys, F.col(ts).alias("ts"), F.col(value).cast("double").alias("value"))
     prev = balanced_prev(rows, keys, ["ts"], ["ts", "value"], Scratch(points.sparkSession, "area"))
     both = balanced_next(prev, keys, ["ts"], ["ts", "value"], Scratch(points.sparkSession, "area-next"), extra=["prev_ts", "prev_value", "value"])
     area = F.expr("abs((ts - prev_ts) * (next_value - prev_value) - (next_ts - prev_ts) * (value - prev_value)) / 2")
     return both.where(F.col("prev_ts").isNull() | F.col("next_ts").isNull() | (area > min_area)).select(*keys, "ts", "value")
+
+
+def decimate_area(points: DataFrame, keys: list[str], ts: str, value: str, min_area: float) -> DataFrame:
+    """Points whose triangle with the last kept point and the next one has more than min_area, and the ends.
+
+    Each test waits for the one before, so a series is folded in order by one
+    task, in sorted Arrow batches that hold one point over; many series share a
+    task. Points of one key must differ in time.
+    """
+    rows = points.where(F.col(value).isNotNull()).select(*keys, F.col(ts).alias("ts"), F.col(value).cast("double").alias("value"))
+    at = [len(keys), len(keys) + 1]
+
+    def fold(batches):
+        key = kept = held = None
+        for b in batches:
+            take, cols = [], [c.to_pylist() for c in b.columns]
+            for row in zip(*cols):
+                k, t, v = row[: at[0]], row[at[0]], row[at[1]]
+                if held is None or k != key:
+                    if held is not None and held is not kept:
+                        take.append(held)
+                    key, kept, held = k, row, row
+                    take.append(row)
+                    continue
+                if held is not kept:
+                    (t0, v0), (t1, v1) = kept[at[0] :], held[at[0] :]
+                    if abs((t1 - t0) * (v - v0) - (t - t0) * (v1 - v0)) / 2 > min_area:
+                        kept = held
+                        take.append(held)
+                held = row
+            if take:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*take), b.schema)], schema=b.schema)
+                schema = b.schema
+            elif b.num_rows:
+                schema = b.schema
+        if held is not None and held is not kept:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(held, schema)], schema=schema)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInArrow(fold, rows.schema)

@@ -420,6 +420,13 @@ def m4_downsample(spark, sf_dir):
 SELECT series_id, ts, CAST(value AS DOUBLE) AS value FROM l WHERE pt IS NULL OR nt IS NULL OR abs((ts - pt) * (nv - pv) - (nt - pt) * (value - pv)) / 2 > 1e12"""
 )
 def area_filter(spark, sf_dir):
+    """Points tested against their neighbours in the input; area_filter_kept tests against the last kept one."""
+    return bins.decimate_area_by_neighbours(_points(spark, sf_dir), ["series_id"], "ts", "value", 1e12)
+
+
+@query()
+def area_filter_kept(spark, sf_dir):
+    """Points that matter for the curve, each tested against the last one kept."""
     return bins.decimate_area(_points(spark, sf_dir), ["series_id"], "ts", "value", 1e12)
 
 

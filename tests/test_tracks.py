@@ -43,3 +43,23 @@ def test_flame_weighs_paths_by_time(spark):
     assert whole[("Running",)] == 1010 and whole[("Running", "runtime.goexit", "runtime.main", "main", "a")] == 1010
     assert whole[("select", "main", "a")] == 10 and whole[("blocking syscall", "main", "b")] == 960
     assert {tuple(r.path)[0] for r in t.flame().collect()} == {"Running"}
+
+
+def test_area_filter_keeps_the_curve(spark):
+    import math
+
+    from spanmill.operators.bins import decimate_area
+
+    curves = {n: [(n, i * 3_600_000_000_000 // n, 1000 * math.sin(2 * math.pi * i / n)) for i in range(n)] for n in (1, 2, 20, 100, 1000)}
+    want = set()
+    for pts in curves.values():
+        out = pts[:1]
+        for b, c in zip(pts[1:], pts[2:]):
+            a = out[-1]
+            if abs((b[1] - a[1]) * (c[2] - a[2]) - (c[1] - a[1]) * (b[2] - a[2])) / 2 > 1e12:
+                out.append(b)
+        want |= {*out, pts[-1]}
+    df = spark.createDataFrame([p for c in curves.values() for p in c] + [(20, 5, None)], "k int, t bigint, v double").orderBy("v")
+    got = decimate_area(df, ["k"], "t", "v", 1e12).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert sum(r.k == 1000 for r in got) > 2
