@@ -34,8 +34,12 @@ COUNTED = 8
 MAX_DISTANCE = 3
 #: A SimHash is cut into so many blocks; a table is keyed by all blocks but MAX_DISTANCE.
 BLOCKS = 5
-#: Units longer than this many words are prose unless a rule of their start says otherwise.
+#: Lines longer than this many words are cut into sentences, each a unit, before the rules for notices.
 NOTICE_WORDS = 30
+#: Where a sentence ends.
+_STOP = re.compile(r"(?<=[.!?…])\s+(?=\S)")
+#: A sentence before a notice that only reports it.
+_REPORTS = re.compile(r":\s*$|(?<!\w)(?:says?|said|saying|shows?|showed|prints?|printed|displays?|returns?|reads?|gets?|got|see|saw|messages?|errors?|warnings?|called|titled)(?!\w)", re.I)
 
 _CODE = re.compile(r"(?ms)^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[ \t]*$|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|`[^`\n]+`")
 _DIGIT = re.compile(r"\d+")
@@ -186,8 +190,6 @@ def is_residue(line: str, m: str) -> bool:
     n = m.count(" ") + 1
     if n >= 4 and (_LOREM.match(m) or is_filler(m)):
         return True
-    if n > NOTICE_WORDS:
-        return False
     if _NOTICES.fullmatch(m):
         return not _TALK.search(m) or m[0] in "{[(" or m.startswith(("fatal error", "traceback", "oops"))
     slots = _SLOT.findall(line)
@@ -202,6 +204,29 @@ def is_residue(line: str, m: str) -> bool:
     return bool(_EMPTY_SLOT.search(line)) and n <= 12 and not _TALK.search(m) and not _CODEISH.search(line)
 
 
+def sentence_units(line: str) -> list[tuple[str, bool]]:
+    """(masked sentence, trusted residue) of a line of several sentences.
+
+    A notice counts where it stands by itself: not inside quotation marks, nor
+    after a sentence that reports it. Slots count wherever they are.
+    """
+    parts = _STOP.split(line)
+    out = []
+    if len(parts) < 2:
+        return out
+    quoted, before = 0, ""
+    for part in parts:
+        m = masked(part)
+        if m:
+            sure = is_residue(part, m)
+            if sure and not _SLOT.search(part):
+                sure = quoted % 2 == 0 and not _REPORTS.search(before)
+            out.append((m, sure))
+        quoted += sum(part.count(q) for q in '"“”„«»')
+        before = part
+    return out
+
+
 def empty_form(text: str) -> bool:
     """Two labels of a form with nothing filled in between."""
     t = without_code(text)
@@ -224,12 +249,19 @@ def units(text: str) -> list[tuple[str, bool]]:
         m = masked(line)
         if m:
             out.append((m, is_residue(line, m)))
+            out += [(u, sure) for u, sure in sentence_units(line) if sure or m.count(" ") >= NOTICE_WORDS]
     if len(lines) > 1:
         kept = [x for x in lines if not _ASIDE.fullmatch(masked(x))]
-        if kept and sum(map(len, kept)) <= 400:
+        if kept:
             whole = " ".join(kept)
             m = masked(whole)
-            out.append((m, is_residue(whole, m)))
+            # long texts repeat their words anyway: only short ones can be filler as a whole
+            sure = len(whole) <= 400 and is_residue(whole, m)
+            if len(whole) <= 400:
+                out.append((m, sure))
+            # notices broken over lines, with other text around them
+            if not sure:
+                out += [(u, sure) for u, sure in sentence_units(whole) if sure]
     if empty_form(text):
         out.append(("(empty form)", True))
     return out

@@ -304,3 +304,33 @@ def test_prefix_keys_miss_no_alike_pair(texts, seed):
         for j, b in enumerate(texts[:i]):
             if len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)):
                 assert set(keys[i].tolist()) & set(keys[j].tolist())
+
+
+_LONG = "The pump in the cellar runs all night although the tank above it is full and the valve between them was replaced by the plumber only two weeks ago. It is loud, and the neighbours complain about it. "
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        _LONG + "Hello {{first_name}}, your parts are on the way.",
+        _LONG.replace(". ", ", ").strip(" ,") + " and the order ${order} is on the way",
+        _LONG + "[INSERT DATE]",
+        _LONG + "Please enable JavaScript to continue.",
+        "Some text. Please enable JavaScript to continue.",
+        "\n\n".join([_LONG, _LONG, "Some text. Please enable\nJavaScript to continue.", _LONG]),
+    ],
+)
+def test_rule_finds_residue_within_long_lines_and_texts(text):
+    assert any(sure for _, sure in residue.units(text))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        _LONG,
+        _LONG + 'The page says "Please wait. Please enable JavaScript to continue. Thanks." and nothing more.',
+        _LONG + "Then it shows this message: nothing to see. Now I see an error. Please try again later.",
+    ],
+)
+def test_rule_spares_long_lines_that_talk_about_notices(text):
+    assert not any(sure for _, sure in residue.units(text))
