@@ -1,12 +1,13 @@
 """Template residue, filler and error pages standing in for content (problem 9).
 
-Texts are cut into units (lines outside code). Rules label units that can be
-nothing else as trusted residue. Distinct units are then searched for near
-duplicates of labelled ones: units share a key where they hold the same one of
-their rarest 4-grams, of which so many are kept that no pair of the stated
-similarity is missed. The similarity of the texts alone decides, and carries
-the label on, until no unit gains one: what is labelled in the end is the
-connected components of the near-duplicate graph that hold a trusted unit.
+Texts are cut into units (sentences outside code, places of a template masked
+as one sign). Few strict rules label units that can be nothing else as trusted
+residue. Labels then spread over near duplicates: each unit has a SimHash that
+is partitioned into blocks, each block voted on by its own share of the words,
+so that a change of few words leaves other blocks as they were. Tables are
+keyed by blocks; pairs that meet in a table are verified by the Hamming
+distance of their whole SimHashes, then by the similarity of their texts. What
+is labelled in the end is the connected components that hold a trusted unit.
 """
 
 from __future__ import annotations
@@ -18,134 +19,171 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sweep import column
-from ..session import Scratch
+from ..session import Scratch, is_empty
 from .text import _INVISIBLE
 
 #: Near duplicates: similarity (Jaccard) of the texts' 4-grams.
 MIN_SIMILARITY = 0.8
-#: Buckets of 4-grams whose frequencies order them, and one unit in so many is counted for that.
-GRAM_BUCKETS = 1 << 16
-COUNTED = 8
-#: Hamming distance of SimHashes that the partitioned tables of `_table_keys` miss no pair of; find_residue doesn't rest on it.
-MAX_DISTANCE = 3
-#: A SimHash is cut into so many blocks; a table is keyed by all blocks but MAX_DISTANCE.
-BLOCKS = 5
-#: Lines longer than this many words are cut into sentences, each a unit, before the rules for notices.
-NOTICE_WORDS = 30
-#: Where a sentence ends.
-_STOP = re.compile(r"(?<=[.!?…])\s+(?=\S)")
-#: A sentence before a notice that only reports it.
-_REPORTS = re.compile(r":\s*$|(?<!\w)(?:says?|said|saying|shows?|showed|prints?|printed|displays?|returns?|reads?|gets?|got|see|saw|messages?|errors?|warnings?|called|titled)(?!\w)", re.I)
-
+#: A SimHash has so many blocks of so many bits.
+BLOCKS, BLOCK_BITS = 6, 32
+#: Bits in which the SimHashes of near duplicates differ at most (of 192; see README for what is lost by it).
+MAX_DISTANCE = 56
+#: A table is keyed by one block, or by two, with so many words or more (a third of the unit's, if that is fewer).
+KEY_WORDS = 3
+#: Longs of the bit map of the front's table keys: the size of what is broadcast, whatever the corpus.
+BITMAP_ROWS = 1 << 17
+
+ANYWHERE, ALONE = 2, 1
+
+# ------------------------------------------------------------------- cutting
 _CODE = re.compile(r"(?ms)^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[ \t]*$|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|`[^`\n]+`")
-_DIGIT = re.compile(r"\d+")
-#: Hexadecimal runs after numbers became 0; one with both kinds of digits is an id.
-_HEX = re.compile(r"(?<![a-z0])[a-f0]{3,}(?![a-z0])")
 # Only real markup: <topic here> and the like are placeholders and stay.
 _MARKUP = re.compile(
     r"</?(?:a|abbr|b|blockquote|body|br|center|div|em|font|h[1-6]|head|hr|html|i|img|li|main|meta|ol|p|section|small|span|strong|sub|sup|table|tbody|td|th|title|tr|u|ul)(?:\s[^<>]*)?/?>", re.I
 )
 _BREAK = re.compile(r"</?(?:br|hr|p|div|h[1-6]|li|tr|ul|ol|table|blockquote|title|body|head|section)(?:\s[^<>]*)?/?>", re.I)
 _STAMP = re.compile(r"\s*[\[(](?:[0-9a-f]{4,}|ref[.:]? ?\w+)[\])]\s*$", re.I)
-_EDGE = re.compile(r"^[\s>|*#=~\-–—•·]+|[\s|*#=~\-–—•·]+$")
+_BEFORE = " \t\r\f\v >|*#=~-–—•·"
+_AFTER = " \t\r\f\v |*#=~-–—•·"
+#: Where a sentence ends.
+_STOP = re.compile(r"(?<=[.!?…])\s+(?=\S)")
+_DIGITS = re.compile(r"\d+")
+#: Hexadecimal runs after numbers became 0; one with both kinds of digits is an id.
+_HEX = re.compile(r"(?<![a-z0])[a-f0]{3,}(?![a-z0])")
+#: A sentence before a notice that only reports it.
+_REPORTS = re.compile(r":\s*$|(?<!\w)(?:says?|said|saying|shows?|showed|prints?|printed|displays?|returns?|reads?|gets?|got|see|saw|messages?|errors?|warnings?|called|titled)(?!\w)", re.I)
+_QUOTES = re.compile("[\"“”„«»]")
 
-# ---------------------------------------------------------------- placeholders
+# -------------------------------------------------------------- places of templates
+SLOT = "§"
 _NAME = r"[A-Za-z_][\w .\-]{0,40}"
-#: Delimited slots: nobody writes these in prose.
-_SLOT = re.compile(
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}|\{{%\s*{_NAME}\s*%\}}|<%=?\s*{_NAME}\s*%>|[$#]\{{\s*{_NAME}\s*\}}|\$\(\s*{_NAME}\s*\)|\[\[\s*{_NAME}\s*\]\]"
-    rf"|@@\s*{_NAME}\s*@@|%%\s*{_NAME}\s*%%|(?<!\w)__[A-Z][A-Z_ ]*__(?!\w)|\[[A-Z][A-Z]+(?:[ _][A-Z]+)*\](?!\()|<[a-z][a-z ]* here>|<(?:your|insert|enter) [a-z ]+>"
-    rf"|<(?:topic|author|company|product|version|description|user|first name|name)>|(?<![\w$#{{]){{(?:\d|[a-z_][a-z_. ]*)}}(?!\}})"
-)
-#: Values that a program prints where it had none.
-_BLANK = re.compile(r"\[object Object\]|(?<![\w.%])%[sd](?!\w)|(?<!\w)(?:undefined|NaN|null|X{3,}|None)(?!\w)")
-_EMPTY_SLOT = re.compile(r"^(?:dear|hello|hi) ,|\b(?:by|on|open|choose|has|in)\s{2,}\w|\b(?:by|on|open|choose|is) ?\.$", re.I)
-
-# -------------------------------------------------- notices, whole unit, masked
+_MAYBE = re.compile(r"[{}\[\]<%$#@_]|undefined|NaN|null|None|X{3}")
+#: Trusted: delimiters that nobody writes in prose. One rule each.
+SLOT_RULES = [
+    rf"\{{\{{\s*{_NAME}\s*\}}\}}",
+    rf"\{{%\s*{_NAME}\s*%\}}",
+    rf"<%=?\s*{_NAME}\s*%>",
+    rf"[$#]\{{\s*{_NAME}\s*\}}",
+    rf"\$\(\s*{_NAME}\s*\)",
+    rf"\[\[\s*{_NAME}\s*\]\]",
+    rf"@@\s*{_NAME}\s*@@",
+    rf"%%\s*{_NAME}\s*%%",
+    r"(?<![\w%])%[A-Z][A-Z_]{2,}%(?![\w%])",
+    r"(?<!\w)__[A-Z][A-Z_ ]*__(?!\w)",
+    r"\[(?!(?:EDIT|SOLVED|UPDATED?|CLOSED|NOTE|DUPLICATE|RESOLVED|FIXED|OFF TOPIC)\])[A-Z]{4,}(?:[ _][A-Z]+)*\](?!\()",
+    r"<(?:your|insert|enter) [a-z ]+>|<[a-z][a-z ]* here>",
+]
+#: Not trusted by themselves: what programs print where they had no value, and delimiters that also occur elsewhere.
+_WEAK_SLOT = r"\[object Object\]|(?<![\w.%])%[sd](?!\w)|(?<!\w)(?:undefined|NaN|null|None|X{3,})(?!\w)|(?<![\w$#{])\{(?:\d|[a-z_][a-z_. ]*)\}(?!\})|<[a-z][a-z ]{2,30}>"
+_CODEISH = re.compile(r"```|~~~|[;={}]|=>|\breturn\b|\bconst\b|\blet\b|\bdef\b|\bprint\(|\braise\b|^\s*(?:if|for|while|try|except)\b")
+_QUOTED_OR_OWN = re.compile(r"[\"“”?]|(?<!\w)(?:I|my)(?!\w)")
+
+# ------------------------------------------- notices: whole sentences, lower case, numbers as 0
 _JS = r"(?:java ?scripts?|js|scripts?|scripting)"
-_NOTICES = re.compile(
-    "|".join(
-        [
-            # scripts are required
-            rf"(?:please |you (?:need|have) to |you must |to (?:view|use|continue)[^.]{{0,40}}, )?(?:enable|activate|turn on|switch on|allow) {_JS}\b.{{0,80}}",
-            rf"{_JS} (?:must|has to|have to|needs? to|should) be (?:enabled|allowed|activated|turned on|switched on)\b.{{0,80}}",
-            rf"{_JS} (?:is|are|seems to be|appears to be) (?:disabled|required|turned off|switched off|blocked|not enabled)\b.{{0,100}}",
-            rf"(?:your|this) browser (?:does not|doesn'?t) support {_JS}\b.{{0,80}}",
-            rf"(?:this|our|the) (?:site|page|app|application|forum|thread) (?:needs|requires|relies on|works only with) {_JS}\b.{{0,60}}",
-            rf"no ?script: .{{0,80}}",
-            rf"loading [\w ]{{1,30}}(?:…|\.\.\.)\s*(?:if nothing happens.{{0,60}})?",
-            rf"bitte (?:aktivieren|schalten) sie {_JS}.{{0,80}}",
-            rf"(?:veuillez )?activer? {_JS} (?:pour|dans).{{0,80}}",
-            rf"(?:por favor )?(?:active|activa|habilite|habilita|ative|ativa|habilite o|ative o) (?:el |o )?{_JS}.{{0,80}}",
-            # error pages
-            r"(?:error |http |status )*0+ ?[-–—:]? ?(?:page |file )?not found\b.{0,120}",
-            r"(?:error |http |status )*0+ ?[-–—:]? ?(?:bad gateway|forbidden|unauthorized|gone|gateway time-?out|bad request|(?:internal )?server error|service (?:temporarily )?unavailable)\b.{0,120}",
-            r"(?:error|fehler|erreur|erro) 0+ ?[-–—:]? ?.{0,70}",
-            r"the (?:page|thread|post|file) (?:that )?you (?:asked|were looking|are looking|requested)[^.?]{0,20} (?:does not exist|could not be found|has been).{0,60}",
-            r"(?:internal server error|interner serverfehler|error interno del servidor|erreur interne du serveur|erro interno do servidor)\W{0,3}[\w ()\[\]#:]{0,40}",
-            r"(?:seite nicht gefunden|page introuvable|página no encontrada|página não encontrada)\W{0,3}",
-            r"(?:oops|whoops|uh-oh|sorry)[!,.]+ (?:something|an error|we)\b.{0,120}",
-            r"something went wrong(?: on our (?:side|end))?[.!]?(?: please try again.{0,40})?",
-            r"please try again (?:later|in a few (?:minutes|moments|seconds))[.!]?",
-            r"(?:fatal|parse|uncaught|runtime) error: .{0,160}",
-            r"traceback \(most recent call last\):.{0,200}",
-            r"(?:database|server|proxy) (?:connection|error)\b ?(?:failed|refused|timed out|lost|establishing)?[: ].{0,80}",
-            r"error establishing a database connection.{0,40}",
-            r"(?:your )?session (?:has )?(?:expired|timed out)[.!].{0,60}",
-            r"(?:ihre sitzung ist abgelaufen|su sesión ha (?:caducado|expirado)|votre session a expiré|a sua sessão expirou)\b.{0,60}",
-            r"(?:please )?(?:sign|log) in again to continue[.!]?",
-            r"too many requests[.!:].{0,100}",
-            r"you have been (?:rate limited|blocked|banned)[.!].{0,60}",
-            r"retry after 0+ seconds[.!]?",
-            r"access (?:is )?denied[.!]?(?: you .{0,80})?",
-            r"you do not have permission to (?:view|access|see) this [\w ]{1,20}[.!]?.{0,40}",
-            r"this (?:post|thread|page|answer|question|content) (?:has been|was) (?:removed|deleted)\b.{0,80}",
-            r"(?:site|server|we are) (?:is )?(?:down|closed) for (?:scheduled )?maintenance.{0,60}",
-            r"0+ service (?:temporarily )?unavailable.{0,100}",
-            r"checking your (?:connection|browser) before (?:you proceed|accessing).{0,60}",
-            r"(?:please )?(?:verify|confirm|prove) (?:that )?you are (?:a )?human.{0,80}",
-            r"we value your privacy[.!]?.{0,80}",
-            r"accept (?:all )?cookies\b.{0,60}",
-            r'\{ ?"?(?:error|status|message)"? ?: ?\{?.{0,200}\}',
-            # instructions of a form, never replaced
-            r"<!-- ?(?:remove this|describe|add|insert|enter|please|write|put|replace|your)\b.{0,120}-->",
-            r"\[(?:describe|add|insert|enter|type|write|put|paste|fill in|explain|your)\b[^\]]{2,80}\]\W?",
-            r"\((?:describe|add|insert|enter|type|write|put|paste|fill in)\b[^)]{2,80}\)\W?",
-            r"(?:your|the) [\w ]{2,40} goes here[.!]?",
-            r"(?:insert|enter|type|write|add|put|paste) (?:your|the|a) [\w ]{2,40} here[.!]?",
-            r"(?:todo|tbd|fixme)\b ?[:\-]? ?(?:write|add|insert|fill|complete|describe|answer|content|text)?(?: [\w']+){0,4}[.!]?",
-            r"(?:text|content|description|answer) (?:to follow|coming soon|goes here)[.!]?",
-        ]
-    ),
-    re.S,
+_THING = r"(?:page|url|address|thread|post|file|resource|document|question|answer|content|site|item)"
+#: What may stand in any company. One rule each.
+ANYWHERE_RULES = [
+    rf"(?:please |you (?:need|have) to |you must |to (?:view|use|continue)[^.]*?, (?:please )?)?(?:enable|activate|turn on|switch on|allow) {_JS}\b[^?]*",
+    rf"{_JS} (?:must|has to|have to|needs? to|should) be (?:enabled|allowed|activated|turned on|switched on)\b[^?]*",
+    rf"{_JS} (?:is|are|seems to be|appears to be) (?:disabled|required|turned off|switched off|blocked|not enabled)\b[^?]*",
+    rf"(?:your|this) browser (?:does not|doesn'?t) support {_JS}\b[^?]*",
+    rf"(?:this|our|the) (?:site|page|app|application|forum|thread) (?:needs|requires|relies on|works only with) {_JS}\b[^?]*",
+    rf"if nothing happens, (?:please )?(?:switch|turn) on {_JS}.*|no ?script: .*",
+    rf"(?:bitte (?:aktivieren|schalten) sie|(?:veuillez )?activer?z?|(?:por favor )?(?:active|activa|habilite|habilita|ative|ativa)) (?:el |o |le )?{_JS}\b[^?]*",
+    rf"(?:(?:sorry|oops)[,!.]* )?the (?:requested )?{_THING} (?:(?:that )?you (?:asked|were looking|are looking|requested)[^.?]*? )?(?:does not exist|could not be found|was not found|cannot be found|no longer exists|has been)\b[^?]*",
+    rf"this {_THING} (?:has been|was) (?:removed|deleted)\b[^?]*",
+    r"(?:oops|whoops|uh-oh|we'?(?:re| are) sorry|sorry)[!,.]+(?: but)? (?:something went wrong|an error (?:has )?occurr?ed)\b[^?]*|something went wrong(?: on our (?:side|end))?[.!]?|an (?:unexpected|internal) error (?:has )?occurr?ed[.!]?",
+    r"(?:please )?(?:try again|come back) (?:later|in (?:a few|0) (?:minutes|moments|seconds|hours))[.!]?|retry after 0+ seconds[.!]?",
+    r"(?:the|this|our) (?:service|site|server|page|website) is (?:temporarily |currently )?(?:unavailable|down|under (?:construction|maintenance)|closed)\b[^?]{0,60}|(?:we are|site is) (?:down|closed) for (?:scheduled )?maintenance[^?]*",
+    r"(?:error establishing a|unable to connect to the|could not connect to the|cannot connect to the) (?:database|server)(?: connection| server)?[.!]?|(?:database|server|proxy) connection (?:failed|refused|timed out|lost)\b[^?]*",
+    r"(?:your )?session (?:has )?(?:expired|timed out)[.!]?|ihre sitzung ist abgelaufen[.!]?|su sesión ha (?:caducado|expirado)[.!]?|votre session a expiré[.!]?|a sua sessão expirou[.!]?",
+    r"(?:please )?(?:sign|log) in again to continue[.!]?|bitte melden sie sich erneut an[.!]?",
+    r"checking your (?:connection|browser) before (?:you proceed|accessing).*",
+    r"(?:please )?(?:verify|confirm|prove) (?:that )?you are (?:a )?human\b.*",
+    r"(?:access denied[.!]? )?you do not have permission to (?:view|access|see) this [\w ]{1,20}[.!]?|you have been (?:rate limited|blocked|banned)[.!]?",
+    r"we value your privacy[.!]?|accept (?:all )?cookies\b.*",
+]
+#: What counts where nothing else stands in its line but notices. One rule each.
+ALONE_RULES = [
+    r"(?:(?:error|http|status) )*0+\W{0,5}(?:(?:page|file) )?(?:not found|bad gateway|forbidden|unauthorized|gone|gateway time-?out|bad request|(?:internal )?server error|service (?:temporarily )?unavailable)[.!]?(?: (?:nginx|apache|[a-z]+proxy)/0.*| reference: \S+)?",
+    r"(?:error|fehler|erreur|erro) 0+\W{0,4}(?:page not found|internal server error|seite nicht gefunden|página no encontrada|página não encontrada|page introuvable)[.!]?(?: reference: \S+)?",
+    r"(?:internal server error|interner serverfehler|error interno del servidor|erreur interne du serveur|erro interno do servidor|bad gateway|page not found|too many requests|access (?:is )?denied|page under construction)\W{0,3}(?:0\W{0,2})?",
+    r"(?:[\w ]+ )?(?:fatal|parse|uncaught|syntax) error: .* in /\S+(?: on line 0|:0)[.]?",
+    r"traceback \(most recent call last\):.*",
+    r"loading [\w ]{1,30}(?:…|\.\.\.)",
+    r'\{ ?"?(?:error|status|message)"? ?: ?\{?.*\}',
+    r"<!-- ?(?:remove this|describe|add|insert|enter|please|write|put|replace|your)\b.*-->",
+    r"\[(?:describe|add|insert|enter|type|write|put|paste|fill in|explain|your)\b[^\]]{2,80}\]\W?|\((?:describe|add|insert|enter|type|write|put|paste|fill in)\b[^)]{2,80}\)\W?",
+    r"(?:your|the) [\w ]{2,40} goes here[.!]?|(?:insert|enter|type|write|add|put|paste) (?:your|the|a) [\w ]{2,40} here[.!]?",
+    r"(?:todo|tbd|fixme)\b ?[:\-] ?(?:write|add|insert|fill|complete|describe|answer|content|text)\b(?: [\w']+){0,4}[.!]?|(?:text|content|description|answer) (?:to follow|coming soon|goes here)[.!]?",
+]
+#: Every notice has one of these words or begins with a sign: a quick look before the rules.
+_TRIGGER = re.compile(
+    r"script|\bjs\b|exist|found|removed|deleted|moved|wrong|occur|again|retry|unavailable|down|closed|construction|maintenance|establishing|connect|session|sitzung|sesión|sessão|human|permission|have been|cookies|privacy|gateway"
+    r"|forbidden|unauthorized|gone|bad |error|fehler|erreur|erro|gefunden|introuvable|requests|denied|traceback|loading|here|todo|tbd|fixme|to follow|coming soon|^[{<\[(]|erneut"
 )
-#: A unit that begins so is filler however long it is.
+#: What may stand beside a notice: navigation, rights, a server's name, a number.
+_ASIDE = re.compile(r"home(?: \| \w+)+|(?:©|\(c\)|copyright)? ?(?:0+ )?all rights reserved\.?|[\w-]+/0+(?:\.0+)*|back to home\.?|(?:http |error )*0+[.:]?|that'?s an error[.!]?|(?:reference:|incident) \S+", re.I)
+#: Signs of somebody talking about a message: quotation, a question, the first person.
+_TALK = re.compile(r"[\"“”„«»?]|(?<!\w)(?:i|i'm|my|our|mine|how do|why|where|what is|anyone)(?!\w)", re.I)
+
+# ------------------------------------------------------------------- filler
+#: A line that begins so is filler however long it is.
 _LOREM = re.compile(r"lorem ipsum (?!for\b|in\b|as\b|is\b|text\b|generator\b|was\b|to\b)[^?]*$", re.S)
 #: The syllables of pseudo-Latin filler.
 _LATIN = re.compile(
     r"(?:adip|amet|cing|con|dio|dolor|do|eius|elit|em|et|ex|fe|inci|ip|isi|labor|la|lis|lor|lo|ma|mod|na|nul|pha|qui|quis|rem|re|sec|sed|sit|sque|sum|tem|te|tetur|tra|tur|ur|uris|ut|vel|am|ali|qua|eni|minim|nostrud)+"
 )
+#: Words of a stretch in which filler is looked for.
+_STRETCH = 24
 _FORM_LABEL = re.compile(r"(?im)^[ \t]*(?:steps to reproduce|expected (?:result|behaviou?r)|actual (?:result|behaviou?r)|environment|version|description)[ \t]*:[ \t]*$")
-#: Signs of somebody talking about a message: quotation, a question, the first person.
-_TALK = re.compile(r"[\"“”„«»?]|(?<!\w)(?:i|i'm|my|our|mine|how do|why|where|what is|anyone)(?!\w)", re.I)
-_CODEISH = re.compile(r"[;={}]|=>|\breturn\b|\bconst\b|\blet\b|\bdef\b|\bprint\(|\braise\b|^\s*(?:if|for|while|try|except)\b")
-_ASIDE = re.compile(r"home(?: \| \w+)+|(?:©|\(c\)|copyright)? ?(?:0+ )?all rights reserved\.?|[\w-]+/0+(?:\.0+)*|back to home\.?", re.I)
+FILLER_RULES = ["lorem ipsum", "one or few words over and over", "pseudo-Latin", "empty form"]
 
+#: Numbers of all rules, for tests that hold some out.
+RULES = [f"slot {i}" for i in range(len(SLOT_RULES))] + [f"anywhere {i}" for i in range(len(ANYWHERE_RULES))] + [f"alone {i}" for i in range(len(ALONE_RULES))] + [f"filler {i}" for i in range(len(FILLER_RULES))]
 
-def is_filler(m: str) -> bool:
-    """One or few words over and over, or pseudo-Latin from end to end."""
-    w = [x.strip(".,;:!-") for x in m.split()]
-    w = [x for x in w if x[:1].isalpha()]
-    if len(w) < 4:
-        return False
-    kinds = len(set(w))
-    if kinds == 1 or kinds * 4 <= len(w):
-        return True
-    return len(w) >= 6 and w[0] not in ("where", "how") and sum(bool(_LATIN.fullmatch(x)) for x in w[:6]) >= 5 and sum(bool(_LATIN.fullmatch(x)) for x in w) >= 0.9 * len(w)
+
+class Rules:
+    """The rules without those held out."""
+
+    def __init__(self, held_out: frozenset[str] = frozenset()):
+        keep = lambda kind, rules: [r for i, r in enumerate(rules) if f"{kind} {i}" not in held_out] or [r"(?!)"]
+        self.slot = re.compile("|".join(keep("slot", SLOT_RULES)))
+        self.any_slot = re.compile("|".join([*SLOT_RULES, _WEAK_SLOT]))
+        self.anywhere = re.compile("|".join(keep("anywhere", ANYWHERE_RULES)), re.S)
+        self.alone = re.compile("|".join(keep("alone", ALONE_RULES)), re.S)
+        self.filler = [f"filler {i}" not in held_out for i in range(len(FILLER_RULES))]
+
+    def is_filler(self, m: str) -> bool:
+        """One or few words over and over, or pseudo-Latin from end to end.
+
+        A text of many words is looked at stretch by stretch: nine in ten must be so.
+        """
+        if self.filler[0] and _LOREM.match(m):
+            return True
+        w = [x for x in (x.strip(".,;:!-") for x in m.split()) if x[:1].isalpha()]
+        if len(w) < 4:
+            return False
+        parts = [w[i : i + _STRETCH] for i in range(0, max(1, len(w) - _STRETCH // 2), _STRETCH)]
+        few = sum(len(kinds := set(p)) == 1 or len(kinds) * 4 <= len(p) for p in parts)
+        if self.filler[1] and few >= 0.9 * len(parts):
+            return True
+        if not self.filler[2] or len(w) < 6 or w[0] in ("where", "how") or sum(bool(_LATIN.fullmatch(x)) for x in w[:6]) < 5:
+            return False
+        return sum(bool(_LATIN.fullmatch(x)) for x in w) >= 0.9 * len(w)
+
+    def notice(self, m: str) -> int:
+        """How far a sentence is trusted as a notice: ANYWHERE, ALONE or 0."""
+        if not _TRIGGER.search(m):
+            return 0
+        found = ANYWHERE if self.anywhere.fullmatch(m) else ALONE if self.alone.fullmatch(m) else 0
+        if found and _TALK.search(m) and not (m[0] in "{[(<" or m.startswith(("fatal error", "traceback", "oops"))):
+            return 0
+        return found
 
 
 def without_code(text: str) -> str:
@@ -155,7 +193,7 @@ def without_code(text: str) -> str:
 
 
 def unit_lines(text: str) -> list[str]:
-    """Lines outside code, without markup, compatibility forms folded."""
+    """Lines outside code, without markup, compatibility forms folded; empty ones part paragraphs."""
     t = without_code(text)
     if "<" in t:
         t = without_code(_BREAK.sub("\n", t))
@@ -165,70 +203,22 @@ def unit_lines(text: str) -> list[str]:
         t = _MARKUP.sub("", t)
     if not t.isascii():
         t = unicodedata.normalize("NFKC", _INVISIBLE.sub("", t)) if "…" not in t else _INVISIBLE.sub("", t)
-    out = []
-    for line in t.split("\n"):
-        line = _EDGE.sub("", line)
-        if line:
-            out.append(line)
-    return out
-
-
-def _without_id(m: re.Match) -> str:
-    return "0" if "0" in m.group(0) else m.group(0)
+    return [line.lstrip(_BEFORE).rstrip(_AFTER) for line in t.split("\n")]
 
 
 def masked(line: str) -> str:
     """Lower case, numbers as 0, ids and a stamp at the end taken off."""
-    t = (_STAMP.sub("", line) if line[-1] in "])" or line[-1].isspace() else line).lower()
-    if _DIGIT.search(t):
-        t = _HEX.sub(_without_id, _DIGIT.sub("0", t))
+    t = (_STAMP.sub("", line) if line[-1] in "])" else line).lower()
+    d = _DIGITS.sub("0", t)
+    if d is not t and d != t:
+        t = _HEX.sub(lambda m: "0" if "0" in m.group(0) else m.group(0), d)
     return " ".join(t.split())
 
 
-def is_residue(line: str, m: str) -> bool:
-    """Whether a line (and its masked form) is trusted residue by rule."""
-    n = m.count(" ") + 1
-    if n >= 4 and (_LOREM.match(m) or is_filler(m)):
-        return True
-    if _NOTICES.fullmatch(m):
-        return not _TALK.search(m) or m[0] in "{[(" or m.startswith(("fatal error", "traceback", "oops"))
-    slots = _SLOT.findall(line)
-    if slots:
-        rest = _SLOT.sub(" ", line)
-        return not _CODEISH.search(rest) and not re.search(r"[\"“”?]|(?<!\w)(?:I|my)(?!\w)", rest)
-    if _BLANK.search(line):
-        blank = _BLANK.findall(line)
-        rest = _BLANK.sub(" ", line)
-        strong = not rest.strip(" .,:") or len(blank) > 1 or n <= 8
-        return strong and n <= 14 and not _TALK.search(rest) and not _CODEISH.search(rest)
-    return bool(_EMPTY_SLOT.search(line)) and n <= 12 and not _TALK.search(m) and not _CODEISH.search(line)
-
-
-def sentence_units(line: str) -> list[tuple[str, bool]]:
-    """(masked sentence, trusted residue) of a line of several sentences.
-
-    A notice counts where it stands by itself: not inside quotation marks, nor
-    after a sentence that reports it. Slots count wherever they are.
-    """
-    parts = _STOP.split(line)
-    out = []
-    if len(parts) < 2:
-        return out
-    quoted, before = 0, ""
-    for part in parts:
-        m = masked(part)
-        if m:
-            sure = is_residue(part, m)
-            if sure and not _SLOT.search(part):
-                sure = quoted % 2 == 0 and not _REPORTS.search(before)
-            out.append((m, sure))
-        quoted += sum(part.count(q) for q in '"“”„«»')
-        before = part
-    return out
-
-
 def empty_form(text: str) -> bool:
     """Two labels of a form with nothing filled in between."""
+    if ":" not in text:
+        return False
     t = without_code(text)
     labels = list(_FORM_LABEL.finditer(t))
     for a, b in zip(labels, labels[1:]):
@@ -237,215 +227,255 @@ def empty_form(text: str) -> bool:
     return False
 
 
-def units(text: str) -> list[tuple[str, bool]]:
-    """(masked unit, trusted residue) of a text.
-
-    A text that is a notice as a whole, once footers are set aside, is one
-    unit too, however its lines are broken.
-    """
-    lines = unit_lines(text)
-    out = []
-    for line in lines:
-        m = masked(line)
+def _of_line(line: str, rules: Rules, out: dict[tuple[str, bool], int]) -> None:
+    """Puts the units of a line into `out`: (masked sentence, stands alone) -> how far it is trusted."""
+    m = masked(line)
+    if m and rules.is_filler(m):
+        out[m, True] = ANYWHERE
+        return
+    parts = _STOP.split(line)
+    found, quoted, before = [], 0, ""
+    for part in parts:
+        slots = False
+        if _MAYBE.search(part):
+            shown = rules.any_slot.sub(SLOT, part)
+            if shown != part and rules.slot.search(part):
+                rest = rules.slot.sub(" ", part)
+                slots = not _CODEISH.search(rest) and not _QUOTED_OR_OWN.search(rest)
+            m = masked(part) if shown == part else masked(shown)
+            trust = ANYWHERE if slots else rules.notice(m) or rules.notice(masked(part))
+        else:
+            m = masked(part)
+            trust = rules.notice(m) if m else 0
         if m:
-            out.append((m, is_residue(line, m)))
-            out += [(u, sure) for u, sure in sentence_units(line) if sure or m.count(" ") >= NOTICE_WORDS]
-    if len(lines) > 1:
-        kept = [x for x in lines if not _ASIDE.fullmatch(masked(x))]
-        if kept:
-            whole = " ".join(kept)
-            m = masked(whole)
-            # long texts repeat their words anyway: only short ones can be filler as a whole
-            sure = len(whole) <= 400 and is_residue(whole, m)
-            if len(whole) <= 400:
-                out.append((m, sure))
-            # notices broken over lines, with other text around them
-            if not sure:
-                out += [(u, sure) for u, sure in sentence_units(whole) if sure]
-    if empty_form(text):
-        out.append(("(empty form)", True))
+            # what is quoted or reported is neither a seed nor a hit, unless its slots are open
+            told = not slots and (quoted % 2 == 1 or bool(before and _REPORTS.search(before)))
+            found.append((m, 0 if told else trust, told))
+        quoted += len(_QUOTES.findall(part))
+        # a notice or its number reports nothing
+        before = "" if trust or _ASIDE.fullmatch(m) else part
+    alone = all(trust or _ASIDE.fullmatch(m) for m, trust, _ in found) or len(found) == 1
+    for m, trust, told in found:
+        if not told:
+            key = m, alone
+            trust = trust if alone or trust == ANYWHERE else 0
+            out[key] = max(out.get(key, 0), trust)
+
+
+def units(text: str, rules: Rules | None = None) -> dict[tuple[str, bool], int]:
+    """(masked unit, stands alone in its line) -> ANYWHERE or ALONE if trusted residue, else 0.
+
+    Lines of a paragraph that end without a stop are also read as one, so a
+    sentence that is broken over lines is a unit too; where the next line
+    begins with a capital, which may be a heading or a list, only if trusted.
+    """
+    rules = rules or _ALL
+    out: dict[tuple[str, bool], int] = {}
+    joined: list[str] = []
+    lower = True
+
+    def read_as_one() -> None:
+        if len(joined) > 1:
+            more = out if lower else {}
+            _of_line(" ".join(joined), rules, more)
+            if not lower:
+                out.update({k: v for k, v in more.items() if v > out.get(k, 0)})
+
+    for line in unit_lines(text):
+        if line:
+            _of_line(line, rules, out)
+            if joined and joined[-1][-1] not in ".!?…:":
+                lower = lower and line[0].islower()
+                joined.append(line)
+                continue
+        read_as_one()
+        joined, lower = [line] if line else [], True
+    read_as_one()
+    if rules.filler[3] and empty_form(text):
+        out["(empty form)", True] = ANYWHERE
     return out
 
 
-def simhashes(texts: list[str], chunk: int = 256) -> np.ndarray:
-    """64-bit SimHashes of the character 4-grams of units, many at a time."""
-    out = [np.zeros(0, dtype=np.int64)]
-    for i in range(0, len(texts), chunk):
-        part = [f" {t} ".ljust(4) for t in texts[i : i + chunk]]
-        raw = np.frombuffer("".join(part).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        sizes = np.array([len(t) for t in part])
-        at = np.cumsum(sizes) - sizes
-        h = np.zeros(len(raw) - 3, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(4):
-                h = (h ^ raw[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(32)
-        # windows that begin in the last three characters belong to two units
-        inside = np.ones(len(raw), dtype=bool)
-        for k in (1, 2, 3):
-            inside[at + sizes - k] = False
-        bits = np.unpackbits(h[inside[: len(h)]].view(np.uint8).reshape(-1, 8), axis=1)
-        n = sizes - 3
-        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-        out.append(np.packbits(2 * ones > n[:, None], axis=1).view(np.int64).ravel())
-    return np.concatenate(out)
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ALL = Rules()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        doc, unit, sure = [], [], []
+        doc, unit, alone, trust = [], [], [], []
         for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if t:
-                for u, s in dict.fromkeys(units(t)):
-                    doc.append(d)
-                    unit.append(u)
-                    sure.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(unit, pa.string()), pa.array(sure, pa.bool_())], names=["doc_id", "unit", "sure"])
+                found = units(t, rules)
+                doc += [d] * len(found)
+                unit += [u for u, _ in found]
+                alone += [a for _, a in found]
+                trust += found.values()
+        cols = [pa.array(doc, pa.int64()), pa.array(unit, pa.string()), pa.array(alone, pa.bool_()), pa.array(trust, pa.int8())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "unit", "alone", "trust"])
+
+
+# ------------------------------------------------------------------ SimHashes
+#: Words; signs of scripts without spaces are words by themselves.
+_WORDS = re.compile(r"[฀-๿぀-ヿ㐀-鿿]|[^\W฀-๿぀-ヿ㐀-鿿]+|" + SLOT)
+
+
+def _ballots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(block, votes for its bits) of words: the sum of +-1 over the bits of their 4-grams' hashes."""
+    block = np.empty(len(words), dtype=np.int64)
+    hashes, n = [], np.empty(len(words), dtype=np.int64)
+    for i, w in enumerate(words):
+        block[i] = xxhash.xxh3_64_intdigest(w, 1) % BLOCKS
+        p = f" {w} "
+        n[i] = max(1, len(p) - 3)
+        hashes += [xxhash.xxh32_intdigest(p[k : k + 4]) for k in range(n[i])]
+    bits = np.unpackbits(np.array(hashes, dtype=np.uint32).view(np.uint8).reshape(-1, 4), axis=1).astype(np.int16)
+    votes = np.add.reduceat(2 * bits - 1, np.cumsum(n) - n, axis=0) if len(words) else np.zeros((0, BLOCK_BITS), dtype=np.int16)
+    return block, votes
+
+
+def simhashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(SimHashes as one uint32 per text and block, words per text and block).
+
+    A block without words is 0.
+    """
+    vocab: dict[str, int] = {}
+    ids, sizes = [], np.empty(len(texts), dtype=np.int64)
+    for i, t in enumerate(texts):
+        w = _WORDS.findall(t)
+        sizes[i] = len(w)
+        ids += [vocab.setdefault(x, len(vocab)) for x in w]
+    words = np.zeros((len(texts), BLOCKS), dtype=np.int64)
+    out = np.zeros((len(texts), BLOCKS), dtype=np.uint32)
+    if not ids:
+        return out, words
+    block, votes = _ballots(list(vocab))
+    ids = np.array(ids)
+    cell = np.repeat(np.arange(len(texts)), sizes) * BLOCKS + block[ids]
+    order = np.argsort(cell, kind="stable")
+    cell, ids = cell[order], ids[order]
+    at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    words.ravel()[cell[at]] = np.diff(np.append(at, len(cell)))
+    # few words at a time: the votes of all are not held at once
+    step = 1 << 16
+    ends = np.append(at, len(cell))
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + step, side="right")) - 1)
+        sums = np.add.reduceat(votes[ids[ends[lo] : ends[hi]]], at[lo:hi] - ends[lo], axis=0, dtype=np.int32)
+        out.ravel()[cell[at[lo:hi]]] = np.packbits(sums > 0, axis=1).view(np.uint32).ravel()
+        lo = hi
+    return out, words
+
+
+_PAIRS = [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
+
+
+def table_keys(sims: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Keys of each unit in the tables: its blocks with enough words, and pairs of the others.
+
+    Enough are KEY_WORDS, or a third of the unit's words if that is fewer. One
+    changed word touches two blocks at most, so units of many words that differ
+    in few share a key. A text's words need not be in order for this; the text
+    check sees to that.
+    """
+    enough = np.clip(words.sum(axis=1) // 3, 1, KEY_WORDS)
+    with np.errstate(over="ignore"):
+        mix = lambda h: (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        wide = sims.astype(np.uint64)
+        cols, used = [], []
+        for i in range(BLOCKS):
+            cols.append(mix(mix(wide[:, i] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1))))
+            used.append(words[:, i] >= enough)
+        single = list(used)
+        for i, j in _PAIRS:
+            both = mix(wide[:, i] | (wide[:, j] << np.uint64(32)))
+            cols.append(mix(both * np.uint64(0x9E3779B97F4A7C15) + np.uint64(100 + i * BLOCKS + j)))
+            used.append((words[:, i] > 0) & (words[:, j] > 0) & (words[:, i] + words[:, j] >= enough) & ~single[i] & ~single[j])
+    keys, mask = np.stack(cols, axis=1).view(np.int64), np.stack(used, axis=1)
+    return [k[m] for k, m in zip(keys, mask)]
 
 
-def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, hash) of the character 4-grams of texts, repeats included.
+_SIMS = [f"s{k}" for k in range(BLOCKS // 2)]
 
-    Texts shorter than four characters are one gram, as in `_alike`.
-    """
-    part = [t.ljust(4, "\0") for t in texts]
-    raw = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    sizes = np.array([len(t) for t in part], dtype=np.int64)
-    if not len(raw):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    h = np.zeros(len(raw) - 3, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(4):
-            h = (h ^ raw[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-    at = np.cumsum(sizes)
-    inside = np.ones(len(raw), dtype=bool)
-    for k in (1, 2, 3):
-        inside[at - k] = False
-    inside = inside[: len(h)]
-    return np.repeat(np.arange(len(part)), sizes - 3), h[inside]
-
-
-def prefix_keys(texts: list[str], rank: np.ndarray, least: float, chunk: int = 256) -> tuple[list[np.ndarray], list[int]]:
-    """Keys of each text, and how many distinct 4-grams it has.
-
-    Grams are put into one order, rare buckets first. Of n grams the first
-    n - ceil(least * n) + 1 are keys: two texts of Jaccard similarity `least`
-    or more have at least ceil(least * n) grams in common, so one of their
-    keys. The order decides about speed only.
-    """
-    keys, sizes = [], []
-    for i in range(0, len(texts), chunk):
-        part = texts[i : i + chunk]
-        unit, h = gram_hashes(part)
-        # rank (16 bits) and the other 48 bits of the hash: one to one
-        o = (rank[h & np.uint64(GRAM_BUCKETS - 1)].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
-        by = np.lexsort((o, unit))
-        unit, o = unit[by], o[by]
-        first = np.ones(len(o), dtype=bool)
-        first[1:] = (unit[1:] != unit[:-1]) | (o[1:] != o[:-1])
-        unit, o = unit[first], o[first].view(np.int64)
-        n = np.bincount(unit, minlength=len(part))
-        at = np.cumsum(n) - n
-        take = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
-        keys += [o[a : a + t] for a, t in zip(at, np.minimum(take, n))]
-        sizes += n.tolist()
-    return keys, sizes
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(GRAM_BUCKETS, dtype=np.int64)
-    for b in batches:
-        texts = b.column(0).to_pylist()
-        for i in range(0, len(texts), 256):
-            h = gram_hashes(texts[i : i + 256])[1]
-            n += np.bincount((h & np.uint64(GRAM_BUCKETS - 1)).astype(np.int64), minlength=GRAM_BUCKETS)
-    seen = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen])], names=["bucket", "n"])
-
-
-def _ranks(units: DataFrame) -> np.ndarray:
-    """Place of each bucket of grams, rare ones first: at most GRAM_BUCKETS rows whatever the corpus."""
-    counted = units.where(F.pmod("h", F.lit(COUNTED)) == 0).select("unit").mapInArrow(_counted, "bucket int, n bigint")
-    n = np.zeros(GRAM_BUCKETS, dtype=np.int64)
-    for r in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        n[r.bucket] = r.n
-    rank = np.empty(GRAM_BUCKETS, dtype=np.uint16)
-    rank[np.argsort(n, kind="stable")] = np.arange(GRAM_BUCKETS, dtype=np.uint16)
-    return rank
-
-
-def _keyed(batches: Iterator[pa.RecordBatch], rank: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, sizes = prefix_keys(b.column(1).to_pylist(), rank, least)
+        if b.num_rows == 0:
+            continue
+        sims, words = simhashes(b.column(1).to_pylist())
+        keys = table_keys(sims, words)
         ends = np.cumsum([0, *map(len, keys)])
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["h", "unit", "sure", "n", "keys"])
-
+        longs = np.ascontiguousarray(sims).view(np.int64)
+        cols = [*b.columns, *[pa.array(longs[:, k]) for k in range(longs.shape[1])], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))]
+        yield pa.RecordBatch.from_arrays(cols, names=["h", "unit", "trust", *_SIMS, "keys"])
 
-def _table_keys(sim, max_distance: int, blocks: int):
-    """Keys of the partitioned tables: each leaves out another choice of blocks.
-
-    Two hashes that differ in at most max_distance bits agree in all blocks of
-    at least one choice.
-    """
-    from itertools import combinations
 
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    keys = []
-    for t, out in enumerate(combinations(range(blocks), max_distance)):
-        mask = 0
-        for i in range(blocks):
-            if i not in out:
-                mask |= ((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]
-        mask -= (1 << 64) if mask >> 63 else 0
-        keys.append(F.xxhash64(F.lit(t), sim.bitwiseAND(F.lit(mask))))
-    return F.array(*keys)
+def grams(text: str) -> set[str]:
+    return {text[i : i + 4] for i in range(max(1, len(text) - 3))}
 
 
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    grams = lambda s: {s[i : i + 4] for i in range(max(1, len(s) - 3))}
     for b in batches:
         keep = []
         for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             p, q = grams(x), grams(y)
-            keep.append(len(p & q) >= least * len(p | q))
-        h = b.column(0).filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([h], names=["h"])
+            keep.append(len(p & q) >= least * len(p | q) - 1e-9)
+        t = pa.Table.from_batches([b]).select(["h", "t0"]).filter(pa.array(keep, pa.bool_()))
+        yield from t.combine_chunks().to_batches()
 
 
-def find_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """(doc_id, n_units): documents with residue, and how many of its units are.
+def _bitmap(front: DataFrame) -> DataFrame:
+    """Which table keys the front has, as bits: BITMAP_ROWS rows at most."""
+    return front.groupBy(_slot().alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits"))
 
-    Null and empty texts have no units; repeated rows count once; rows with a
-    null id are left out; an empty table gives no rows.
+
+def _slot():
+    return F.expr(f"shiftrightunsigned(key, 6) & {BITMAP_ROWS - 1}")
+
+
+def cut_units(docs: DataFrame, doc_id: str, text: str, rules: Rules) -> DataFrame:
+    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(lambda it: _cut(it, rules), "doc_id bigint, unit string, alone boolean, trust tinyint").withColumn("h", F.xxhash64("unit"))
+
+
+def find_residue(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = MIN_SIMILARITY, max_distance: int = MAX_DISTANCE, held_out: frozenset[str] = frozenset()
+) -> DataFrame:
+    """(doc_id, n_units, n_spread): documents with residue, how many of its
+    units are, and how many of these no rule knew.
+
+    `held_out` names rules (see RULES) to leave out. Null and empty texts have
+    no units; repeated rows count once; rows with a null id are left out; an
+    empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "residue")
-    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    cut = scratch.put(rows.mapInArrow(_cut, "doc_id bigint, unit string, sure boolean").withColumn("h", F.xxhash64("unit")))
-    distinct = cut.groupBy("h", "unit").agg(F.max("sure").alias("sure")).select("h", "unit", "sure")
-    rank = _ranks(cut)
-    known = scratch.put(distinct.mapInArrow(lambda it: _keyed(it, rank, similarity), "h bigint, unit string, sure boolean, n int, keys array<bigint>"))
-    tables = known.where("not sure").select("h", "n", F.explode("keys").alias("key"))
-    newest = known.where("sure").select("h", "unit", "n", "keys")
-    labelled = newest.select("h")
+    cut = scratch.put(cut_units(docs, doc_id, text, Rules(held_out)))
+    distinct = cut.groupBy("h", "unit").agg(F.max("trust").alias("trust")).select("h", "unit", "trust")
+    known = scratch.put(distinct.mapInArrow(_hashed, "h bigint, unit string, trust tinyint, " + ", ".join(f"{s} bigint" for s in _SIMS) + ", keys array<bigint>"))
+    newest = known.where("trust > 0").select("h", "unit", F.col("trust").alias("t"), *_SIMS, "keys")
+    labels = newest.select("h", "t")
     gains = None
-    size = f"n >= {similarity} * n0 - 1e-9 and n0 >= {similarity} * n - 1e-9"
+    apart = " + ".join(f"bit_count({s} ^ {s}0)" for s in _SIMS)
     while True:
-        front = newest.select(F.col("h").alias("h0"), F.col("n").alias("n0"), F.explode("keys").alias("key"))
-        pairs = front.join(tables, "key").where(size).select("h0", "h").distinct()
+        front = newest.select(F.col("h").alias("h0"), F.col("unit").alias("unit0"), F.col("t").alias("t0"), *[F.col(s).alias(f"{s}0") for s in _SIMS], F.explode("keys").alias("key"))
+        near = known.where(F.col("trust") < 2).select("h", "unit", "trust", *_SIMS, F.explode("keys").alias("key"))
+        # Rows that can meet the front are picked out before any exchange. The
+        # bit map has BITMAP_ROWS rows at most; a full one lets all rows pass.
+        bits = F.broadcast(_bitmap(front))
+        near = near.withColumn("slot", _slot()).join(bits, "slot").where("(shiftrightunsigned(bits, cast(key & 63 as int)) & 1) = 1").drop("slot", "bits")
+        pairs = near.join(front, "key").where(f"h <> h0 and trust < t0 and {apart} <= {max_distance}")
+        pairs = pairs.groupBy("h", "h0").agg(F.first("unit").alias("unit"), F.first("unit0").alias("unit0"), F.first("t0").alias("t0")).select("h", "unit", "unit0", "t0")
         if gains is not None:
-            pairs = pairs.join(gains, "h", "left_anti")
-        texts = pairs.join(known.select("h", "unit"), "h").join(newest.select(F.col("h").alias("h0"), F.col("unit").alias("unit0")), "h0").select("h", "unit", "unit0")
-        gained = scratch.put(texts.mapInArrow(lambda it: _alike(it, similarity), "h bigint").distinct())
-        if gained.isEmpty():
+            old = gains.select(F.col("h").alias("hg"), F.col("t").alias("tg"))
+            pairs = pairs.join(old, F.col("h") == F.col("hg"), "left").where("tg is null or tg < t0").select("h", "unit", "unit0", "t0")
+        gained = scratch.put(pairs.mapInArrow(lambda it: _alike(it, similarity), "h bigint, t0 tinyint").groupBy("h").agg(F.max("t0").alias("t")))
+        if is_empty(gained):
             break
-        newest = known.join(gained, "h", "left_semi").select("h", "unit", "n", "keys")
-        gains = gained if gains is None else scratch.put(gains.unionByName(gained))
+        newest = known.join(gained, "h").select("h", "unit", "t", *_SIMS, "keys")
+        gains = gained if gains is None else scratch.put(gains.unionByName(gained).groupBy("h").agg(F.max("t").alias("t")))
     if gains is not None:
-        labelled = labelled.unionByName(gains)
-    hit = cut.where("sure").select("doc_id", "h").unionByName(cut.where("not sure").join(labelled, "h", "left_semi").select("doc_id", "h"))
-    return hit.distinct().groupBy("doc_id").agg(F.count("*").alias("n_units"))
+        labels = labels.unionByName(gains).groupBy("h").agg(F.max("t").alias("t"))
+    spread = cut.join(labels, "h").where("alone or t = 2 or trust > 0").select("doc_id", "h", "trust")
+    return spread.groupBy("doc_id", "h").agg(F.max("trust").alias("trust")).groupBy("doc_id").agg(F.count("*").alias("n_units"), F.count(F.when(F.col("trust") == 0, 1)).alias("n_spread"))
 
 
 def without_residue(docs: DataFrame, residue: DataFrame) -> DataFrame:

@@ -197,12 +197,18 @@ RESIDUE = [
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit sed do.",
     "asdf asdf asdf asdf asdf",
     "Steps to reproduce:\n1.\n2.\nExpected result:\nActual result:",
-    "Title: [object Object]\nBody: [object Object]",
+    "Title: ${title}\nBody: ${body}",
     "Regards, <your name here>",
     "[Describe what you have tried so far]",
     "Fehler 404 – Seite nicht gefunden.",
     '{"error": {"code": 500, "message": "could not load post 8"}}',
     "YOUR SESSION HAS EXPIRED. SIGN IN AGAIN TO CONTINUE. [a1b2c3]",
+    "404. That's an error. The requested URL was not found on this server.",
+    "We're sorry, but something went wrong.",
+    "HTTP Error 503. The service is unavailable.",
+    "Page under construction",
+    "Hello %FIRSTNAME%, your order",
+    "Unable to connect to the database.",
 ]
 CONTENT = [
     'My client sees "Please enable JavaScript" although scripts are on.',
@@ -214,8 +220,13 @@ CONTENT = [
     "Steps to reproduce:\n1. open it\n2. close it\nExpected result:\nnothing\nActual result:\na crash",
     "The TODO list in the app loses its entries after every update.",
     "No.",
+    "404",
     "<pre><code>Hello ${x}, you have ${y} items</code></pre>",
     "See the [manual](http://a.example/x) of the pump.",
+    "500 Internal Server Error after upgrading to 3.0",
+    "Fatal error: out of memory when compiling the kernel with 2 GB",
+    "Error 1045: access denied for the root user on the new server",
+    "Access denied. You need the backups group in order to read the share",
     "",
     None,
 ]
@@ -223,87 +234,91 @@ CONTENT = [
 
 @pytest.mark.parametrize("text", RESIDUE)
 def test_rule_finds(text):
-    assert any(sure for _, sure in residue.units(text))
+    assert any(residue.units(text).values())
 
 
 @pytest.mark.parametrize("text", [t for t in CONTENT if t])
 def test_rule_spares(text):
-    assert not any(sure for _, sure in residue.units(text))
+    assert not any(residue.units(text).values())
 
 
 def test_residue_spreads_to_near_duplicates(spark):
-    near = "Error 500 - Internal server error Reference: the quick brown fox jumps over the lazy dog near the river bank tonight"
-    texts = RESIDUE + CONTENT + [near, "zq " + near.replace("Error 500 - ", "")]
-    df = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)] + [(0, texts[0], True), (None, "Lorem", True), (900, "word " * 50_000, True)], "doc_id bigint, text string, sure boolean")
-    got = {r.doc_id for r in residue.find_residue(df).collect()}
-    assert set(range(len(RESIDUE))) <= got and not got & set(range(len(RESIDUE), len(RESIDUE) + len(CONTENT)))
-    assert residue.find_residue(df.where("false")).count() == 0
+    near, letters = "Please enable JavaScript to view this odd page.", "abcdefghijklmnopqrstuvwxyz"
+    texts = [*RESIDUE, "Title: undefined\nBody: undefined", near, "Title: a pump", *CONTENT]
+    rows = [(i, t, True) for i, t in enumerate(texts)]
+    rows += [(0, texts[0], True), (None, "Lorem", True), (900, "word " * 50_000, True), (901, " ".join(a + b + c + " of" for a in "bdfghk" for b in letters for c in letters), False)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, trust boolean")
     found = residue.find_residue(df)
-    assert residue.without_residue(df.where("doc_id is not null"), found).count() == df.where("doc_id is not null").count() - len(got) - 1
-
-
-def test_label_spreads_along_a_chain(spark):
-    """Units that no rule knows get the label from a near duplicate, and pass it on."""
-    base = "fatal error: the render service met an unexpected condition while it was building the page and gave up before any part of the thread could be shown here"
-    distance = lambda a, b: bin((int(a) ^ int(b)) & (2**64 - 1)).count("1")
-    alike = lambda a, b: distance(*residue.simhashes([a, b])) <= residue.MAX_DISTANCE
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    first = next(x for k in range(200) for c in letters if alike(x := "oh " + base[: 20 + k % 120] + c + base[20 + k % 120 :], base) or alike(x := "a" + base, base))
-    assert not any(sure for _, sure in residue.units(first))
-    second = next((x for k in range(30, 140) for c in letters if alike(x := first[:k] + c + first[k:], first) and not alike(x, base)), None)
-    texts = [base, first, "The service met an unexpected condition once, and I fixed it."] + ([second] if second else [])
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert {r.doc_id for r in residue.find_residue(df).collect()} == {0, 1} | ({3} if second else set())
+    got = {r.doc_id: r for r in found.collect()}
+    # one word over and over is filler at any length, a long text of many words is not
+    assert set(got) == {*range(len(RESIDUE) + 2), 900}
+    assert got[len(RESIDUE)].n_spread == 2 and got[0].n_spread == 0
+    assert residue.find_residue(df.where("false")).count() == 0
+    assert {r.doc_id for r in residue.without_residue(df, found).collect()} == {*range(len(RESIDUE) + 2, len(texts)), 901, None}
+
+
+def edited(rng, text, words, chars):
+    w = text.split()
+    for _ in range(words):
+        i = rng.randrange(len(w))
+        w[i : i + rng.randrange(2)] = [rng.choice(("module", "quietly", "seven", "gateway"))] * rng.randrange(2)
+    t = list(" ".join(w))
+    for _ in range(chars):
+        i = rng.randrange(len(t))
+        t[i : i + rng.randrange(2)] = [rng.choice("abcdefgh ,.")] * rng.randrange(2)
+    return "".join(t)
+
+
+NOTICES = [
+    "thank you for your interest in our community, your account is being reviewed and you will be told by mail once it is open.",
+    "the template of this entry was met by an unexpected condition and gave up before any part of the thread could be shown.",
+    "this question was asked by § on §.",
+    "we use a small file on your device to remember your settings.",
+]
 
 
-def test_simhash_tables_miss_no_close_pair(spark):
-    rng = random.Random(1)
+@pytest.mark.parametrize("words,chars", [(1, 0), (2, 0), (3, 0), (0, 1), (0, 2), (0, 3)])
+def test_tables_reach_near_duplicates(words, chars):
+    """Recall of the SimHash tables among pairs of the stated similarity, over edits of notices no rule knows."""
+    assert not any(v for t in NOTICES for v in residue.units(t).values())
+    rng = random.Random(7)
     pairs = []
-    for i in range(300):
-        a = rng.getrandbits(64)
-        b = a
-        for k in rng.sample(range(64), 3):
-            b ^= 1 << k
-        pairs.append((i, a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b))
-    df = spark.createDataFrame(pairs, "i int, a bigint, b bigint")
-    from pyspark.sql import functions as F
-
-    hit = df.where(F.arrays_overlap(residue._table_keys(F.col("a"), 3, 5), residue._table_keys(F.col("b"), 3, 5)))
-    assert hit.count() == 300
-
-
-def test_every_pair_of_the_stated_similarity_is_found(spark):
-    """Reworded notices that no rule knows, however far their SimHashes are apart."""
+    for _ in range(3000):
+        a = rng.choice(NOTICES)
+        b = edited(rng, a, words, chars)
+        p, q = residue.grams(a), residue.grams(b)
+        if a != b and len(p & q) >= 0.8 * len(p | q):
+            pairs.append((a, b))
+    assert len(pairs) > 200
+    (sa, wa), (sb, wb) = residue.simhashes([a for a, _ in pairs]), residue.simhashes([b for _, b in pairs])
+    near = np.unpackbits((sa ^ sb).view(np.uint8), axis=1).sum(axis=1) <= residue.MAX_DISTANCE
+    met = [bool(set(x.tolist()) & set(y.tolist())) for x, y in zip(residue.table_keys(sa, wa), residue.table_keys(sb, wb))]
+    assert (near & np.array(met)).mean() >= 0.9
+
+
+def test_labels_spread_over_components(spark):
+    """Against all pairs compared by text similarity alone."""
     rng = random.Random(3)
-    grams = lambda s: {s[i : i + 4] for i in range(max(1, len(s) - 3))}
-    base = "fatal error: the render service met an unexpected condition while it was building the page and gave up before any part of the thread could be shown here"
-    texts = [base]
+    base = "the render service met an unexpected condition while it was building the page and gave up before any part of the thread could be shown here"
+    texts = ["{{x}} " + base]
     while len(texts) < 60:
-        w = base.removeprefix("fatal error: ").split()
-        for k in rng.sample(range(len(w)), rng.choice((1, 2))):
-            w[k] = rng.choice(("module", "quietly", "seven", "gateway"))
-        texts.append(" ".join(w))
-    assert not any(sure for t in texts[1:] for _, sure in residue.units(t))
-    alike = lambda a, b: len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))
+        texts.append("§ " + edited(rng, rng.choice(texts)[2:].removeprefix("x}} ").strip() if rng.random() < 0.5 else base, rng.choice((1, 2)), 0))
+    shown = [next(iter(residue.units(t)))[0] for t in texts]
+    alike = lambda a, b: len(residue.grams(a) & residue.grams(b)) >= 0.8 * len(residue.grams(a) | residue.grams(b))
     found, new = {0}, {0}
     while new:
-        new = {i for i, t in enumerate(texts) if i not in found and any(alike(t, texts[j]) for j in new)}
+        new = {i for i, t in enumerate(shown) if i not in found and any(alike(t, shown[j]) for j in new)}
         found |= new
     assert len(found) > 30
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert {r.doc_id for r in residue.find_residue(df).collect()} == found
+    got = {r.doc_id for r in residue.find_residue(df).collect()}
+    assert got <= found and len(got) >= 0.9 * len(found)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("abc é", min_size=0, max_size=30), min_size=2, max_size=6), st.integers(0, 9))
-def test_prefix_keys_miss_no_alike_pair(texts, seed):
-    rank = np.random.default_rng(seed).permutation(residue.GRAM_BUCKETS).astype(np.uint16)
-    keys, _ = residue.prefix_keys(texts, rank, 0.8)
-    grams = lambda s: {s[i : i + 4] for i in range(max(1, len(s) - 3))}
-    for i, a in enumerate(texts):
-        for j, b in enumerate(texts[:i]):
-            if len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)):
-                assert set(keys[i].tolist()) & set(keys[j].tolist())
+def test_propagation_replaces_rules_held_out(spark, sf_dir):
+    docs = spark.createDataFrame([(i, f"Dear {s}, thanks for your question.") for i, s in enumerate(("{{name}}", "${name}", "@@name@@", "[[name]]", "undefined"))], "doc_id bigint, text string")
+    got = residue.find_residue(docs, held_out=frozenset(f"slot {i}" for i in range(1, len(residue.SLOT_RULES)))).collect()
+    assert len(got) == 5 and sum(r.n_spread for r in got) == 4
 
 
 _LONG = "The pump in the cellar runs all night although the tank above it is full and the valve between them was replaced by the plumber only two weeks ago. It is loud, and the neighbours complain about it. "
@@ -321,16 +336,17 @@ _LONG = "The pump in the cellar runs all night although the tank above it is ful
     ],
 )
 def test_rule_finds_residue_within_long_lines_and_texts(text):
-    assert any(sure for _, sure in residue.units(text))
+    assert any(residue.units(text).values())
 
 
 @pytest.mark.parametrize(
     "text",
     [
         _LONG,
+        _LONG * 200,
         _LONG + 'The page says "Please wait. Please enable JavaScript to continue. Thanks." and nothing more.',
         _LONG + "Then it shows this message: nothing to see. Now I see an error. Please try again later.",
     ],
 )
 def test_rule_spares_long_lines_that_talk_about_notices(text):
-    assert not any(sure for _, sure in residue.units(text))
+    assert not any(residue.units(text).values())
