@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,11 +122,30 @@ ALONE_RULES = [
     r"(?:your|the) [\w ]{2,40} goes here[.!]?|(?:insert|enter|type|write|add|put|paste) (?:your|the|a) [\w ]{2,40} here[.!]?",
     r"(?:todo|tbd|fixme)\b ?[:\-] ?(?:write|add|insert|fill|complete|describe|answer|content|text)\b(?: [\w']+){0,4}[.!]?|(?:text|content|description|answer) (?:to follow|coming soon|goes here)[.!]?",
 ]
-#: Every notice has one of these words or begins with a sign: a quick look before the rules.
-_TRIGGER = re.compile(
-    r"script|\bjs\b|exist|found|removed|deleted|moved|wrong|occur|again|retry|unavailable|down|closed|construction|maintenance|establishing|connect|session|sitzung|sesión|sessão|human|permission|have been|cookies|privacy|gateway"
-    r"|forbidden|unauthorized|gone|bad |error|fehler|erreur|erro|gefunden|introuvable|requests|denied|traceback|loading|here|todo|tbd|fixme|to follow|coming soon|^[{<\[(]|erneut"
-)
+#: Every notice holds one of these or begins with a sign: a quick look before the rules.
+_TRIGGERS = (
+    "script js exist found removed deleted moved wrong occur again retry unavailable down closed construction maintenance establishing connect session sitzung sesión sessão human permission cookies privacy gateway "
+    "forbidden unauthorized gone error fehler erreur erro gefunden introuvable requests denied traceback loading here todo tbd fixme to-follow coming-soon have-been bad-request come-back erneut no-longer has-been"
+).split()
+
+
+def _automaton(words: list[str]):
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w in words:
+        a.add_word(w.replace("-", " "), True)
+    a.make_automaton()
+    return a
+
+
+_TRIGGER = _automaton(_TRIGGERS)
+
+
+def may_be_notice(m: str) -> bool:
+    return next(_TRIGGER.iter(m), None) is not None or m[0] in "{<[("
+
+
 #: What may stand beside a notice: navigation, rights, a server's name, a number.
 _ASIDE = re.compile(r"home(?: \| \w+)+|(?:©|\(c\)|copyright)? ?(?:0+ )?all rights reserved\.?|[\w-]+/0+(?:\.0+)*|back to home\.?|(?:http |error )*0+[.:]?|that'?s an error[.!]?|(?:reference:|incident) \S+", re.I)
 #: Signs of somebody talking about a message: quotation, a question, the first person.
@@ -165,21 +185,38 @@ class Rules:
         """
         if self.filler[0] and _LOREM.match(m):
             return True
-        w = [x for x in (x.strip(".,;:!-") for x in m.split()) if x[:1].isalpha()]
+        w = m.split()
         if len(w) < 4:
             return False
-        parts = [w[i : i + _STRETCH] for i in range(0, max(1, len(w) - _STRETCH // 2), _STRETCH)]
-        few = sum(len(kinds := set(p)) == 1 or len(kinds) * 4 <= len(p) for p in parts)
-        if self.filler[1] and few >= 0.9 * len(parts):
+        latin = self.filler[2] and (_LATIN.fullmatch(w[0]) or _LATIN.fullmatch(w[1]))
+        if not latin and len(w) <= _STRETCH and len(set(w)) > 0.8 * len(w):
+            return False
+        if self.filler[1] and self._repeats(w):
             return True
-        if not self.filler[2] or len(w) < 6 or w[0] in ("where", "how") or sum(bool(_LATIN.fullmatch(x)) for x in w[:6]) < 5:
+        if not latin:
+            return False
+        w = self._bare(w)
+        if len(w) < 6 or w[0] in ("where", "how") or sum(bool(_LATIN.fullmatch(x)) for x in w[:6]) < 5:
             return False
         return sum(bool(_LATIN.fullmatch(x)) for x in w) >= 0.9 * len(w)
 
+    @staticmethod
+    def _bare(words: list[str]) -> list[str]:
+        return [x for x in (x.strip(".,;:!-") for x in words) if x[:1].isalpha()]
+
+    def _repeats(self, w: list[str]) -> bool:
+        starts = range(0, max(1, len(w) - _STRETCH // 2), _STRETCH)
+        other = 0
+        for i in starts:
+            p = self._bare(w[i : i + _STRETCH])
+            kinds = len(set(p))
+            other += not (kinds * 4 <= len(p) or kinds == 1) or len(p) < 4
+            if other > 0.1 * len(starts):
+                return False
+        return True
+
     def notice(self, m: str) -> int:
         """How far a sentence is trusted as a notice: ANYWHERE, ALONE or 0."""
-        if not _TRIGGER.search(m):
-            return 0
         found = ANYWHERE if self.anywhere.fullmatch(m) else ALONE if self.alone.fullmatch(m) else 0
         if found and _TALK.search(m) and not (m[0] in "{[(<" or m.startswith(("fatal error", "traceback", "oops"))):
             return 0
@@ -230,9 +267,17 @@ def empty_form(text: str) -> bool:
 def _of_line(line: str, rules: Rules, out: dict[tuple[str, bool], int]) -> None:
     """Puts the units of a line into `out`: (masked sentence, stands alone) -> how far it is trusted."""
     m = masked(line)
-    if m and rules.is_filler(m):
+    if not m:
+        return
+    if rules.is_filler(m):
         out[m, True] = ANYWHERE
         return
+    slotted, maybe = _MAYBE.search(line), may_be_notice(m)
+    if not slotted and not maybe:
+        parts = _STOP.split(m)
+        for part in parts:
+            out.setdefault((part, len(parts) == 1), 0)
+        return
     parts = _STOP.split(line)
     found, quoted, before = [], 0, ""
     for part in parts:
@@ -243,14 +288,14 @@ def _of_line(line: str, rules: Rules, out: dict[tuple[str, bool], int]) -> None:
                 rest = rules.slot.sub(" ", part)
                 slots = not _CODEISH.search(rest) and not _QUOTED_OR_OWN.search(rest)
             m = masked(part) if shown == part else masked(shown)
-            trust = ANYWHERE if slots else rules.notice(m) or rules.notice(masked(part))
+            trust = ANYWHERE if slots else maybe and (rules.notice(m) or rules.notice(masked(part)))
         else:
             m = masked(part)
-            trust = rules.notice(m) if m else 0
+            trust = rules.notice(m) if m and maybe else 0
         if m:
             # what is quoted or reported is neither a seed nor a hit, unless its slots are open
             told = not slots and (quoted % 2 == 1 or bool(before and _REPORTS.search(before)))
-            found.append((m, 0 if told else trust, told))
+            found.append((m, 0 if told else int(trust), told))
         quoted += len(_QUOTES.findall(part))
         # a notice or its number reports nothing
         before = "" if trust or _ASIDE.fullmatch(m) else part
@@ -314,8 +359,22 @@ def _cut(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.RecordB
 
 
 # ------------------------------------------------------------------ SimHashes
-#: Words; signs of scripts without spaces are words by themselves.
-_WORDS = re.compile(r"[฀-๿぀-ヿ㐀-鿿]|[^\W฀-๿぀-ヿ㐀-鿿]+|" + SLOT)
+#: Signs of scripts without spaces are words by themselves.
+_IDEOGRAPHS = r"([\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}])"
+#: What is no part of a word at its ends.
+_PUNCTUATION = ".,;:!?()[]{}<>/|\"'`*_~#=+-…“”„«»–—"
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(number of each word's text, of each word, the words)."""
+    texts = texts.fill_null("")
+    if pc.any(pc.match_substring_regex(texts, _IDEOGRAPHS)).as_py():
+        texts = pc.replace_substring_regex(texts, _IDEOGRAPHS, r" \1 ")
+    lists = pc.utf8_split_whitespace(texts)
+    text, flat = pc.list_parent_indices(lists), pc.utf8_trim(pc.list_flatten(lists), _PUNCTUATION)
+    some = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(some).dictionary_encode()
+    return text.filter(some).to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
 def _ballots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -332,24 +391,18 @@ def _ballots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return block, votes
 
 
-def simhashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def simhashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(SimHashes as one uint32 per text and block, words per text and block).
 
     A block without words is 0.
     """
-    vocab: dict[str, int] = {}
-    ids, sizes = [], np.empty(len(texts), dtype=np.int64)
-    for i, t in enumerate(texts):
-        w = _WORDS.findall(t)
-        sizes[i] = len(w)
-        ids += [vocab.setdefault(x, len(vocab)) for x in w]
     words = np.zeros((len(texts), BLOCKS), dtype=np.int64)
     out = np.zeros((len(texts), BLOCKS), dtype=np.uint32)
-    if not ids:
+    text, ids, vocab = _words(texts)
+    if not len(ids):
         return out, words
-    block, votes = _ballots(list(vocab))
-    ids = np.array(ids)
-    cell = np.repeat(np.arange(len(texts)), sizes) * BLOCKS + block[ids]
+    block, votes = _ballots(vocab)
+    cell = text * BLOCKS + block[ids]
     order = np.argsort(cell, kind="stable")
     cell, ids = cell[order], ids[order]
     at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -401,7 +454,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows == 0:
             continue
-        sims, words = simhashes(b.column(1).to_pylist())
+        sims, words = simhashes(b.column(1))
         keys = table_keys(sims, words)
         ends = np.cumsum([0, *map(len, keys)])
         longs = np.ascontiguousarray(sims).view(np.int64)

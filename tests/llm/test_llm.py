@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -290,7 +291,7 @@ def test_tables_reach_near_duplicates(words, chars):
         if a != b and len(p & q) >= 0.8 * len(p | q):
             pairs.append((a, b))
     assert len(pairs) > 200
-    (sa, wa), (sb, wb) = residue.simhashes([a for a, _ in pairs]), residue.simhashes([b for _, b in pairs])
+    (sa, wa), (sb, wb) = residue.simhashes(pa.array([a for a, _ in pairs])), residue.simhashes(pa.array([b for _, b in pairs]))
     near = np.unpackbits((sa ^ sb).view(np.uint8), axis=1).sum(axis=1) <= residue.MAX_DISTANCE
     met = [bool(set(x.tolist()) & set(y.tolist())) for x, y in zip(residue.table_keys(sa, wa), residue.table_keys(sb, wb))]
     assert (near & np.array(met)).mean() >= 0.9
