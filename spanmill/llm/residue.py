@@ -208,9 +208,12 @@ class Rules:
         starts = range(0, max(1, len(w) - _STRETCH // 2), _STRETCH)
         other = 0
         for i in starts:
-            p = self._bare(w[i : i + _STRETCH])
-            kinds = len(set(p))
-            other += not (kinds * 4 <= len(p) or kinds == 1) or len(p) < 4
+            p = w[i : i + _STRETCH]
+            few = len(set(p)) <= 0.8 * len(p)
+            if few:
+                p = self._bare(p)
+                few = len(p) >= 4 and ((kinds := len(set(p))) * 4 <= len(p) or kinds == 1)
+            other += not few
             if other > 0.1 * len(starts):
                 return False
         return True
@@ -279,26 +282,25 @@ def _of_line(line: str, rules: Rules, out: dict[tuple[str, bool], int]) -> None:
             out.setdefault((part, len(parts) == 1), 0)
         return
     parts = _STOP.split(line)
-    found, quoted, before = [], 0, ""
+    found, quoted, before, quoting = [], 0, "", _QUOTES.search(line)
     for part in parts:
-        slots = False
-        if _MAYBE.search(part):
+        slots, shown = False, part
+        if slotted:
             shown = rules.any_slot.sub(SLOT, part)
             if shown != part and rules.slot.search(part):
                 rest = rules.slot.sub(" ", part)
                 slots = not _CODEISH.search(rest) and not _QUOTED_OR_OWN.search(rest)
-            m = masked(part) if shown == part else masked(shown)
-            trust = ANYWHERE if slots else maybe and (rules.notice(m) or rules.notice(masked(part)))
-        else:
-            m = masked(part)
-            trust = rules.notice(m) if m and maybe else 0
+        m = masked(shown)
         if m:
+            may = maybe and may_be_notice(m)
+            trust = ANYWHERE if slots else may and (rules.notice(m) or (shown != part and rules.notice(masked(part))))
             # what is quoted or reported is neither a seed nor a hit, unless its slots are open
-            told = not slots and (quoted % 2 == 1 or bool(before and _REPORTS.search(before)))
+            told = may and not slots and (quoted % 2 == 1 or bool(before and _REPORTS.search(before)))
             found.append((m, 0 if told else int(trust), told))
-        quoted += len(_QUOTES.findall(part))
-        # a notice or its number reports nothing
-        before = "" if trust or _ASIDE.fullmatch(m) else part
+            # a notice or its number reports nothing
+            before = "" if trust or may and _ASIDE.fullmatch(m) else part
+        if quoting:
+            quoted += len(_QUOTES.findall(part))
     alone = all(trust or _ASIDE.fullmatch(m) for m, trust, _ in found) or len(found) == 1
     for m, trust, told in found:
         if not told:
