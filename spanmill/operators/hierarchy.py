@@ -10,13 +10,16 @@ come from parallel list ranking with random splitters.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, is_empty
-from .sweep import balanced_next
+from .sweep import balanced_next, column
 
 #: Lists of at most this many elements are ranked in one task.
 LOCAL_RANK_ROWS = 1 << 18
@@ -54,7 +57,7 @@ def _climb(links: DataFrame, scratch: Scratch, with_paths: bool = False) -> tupl
     before = (-1, -1, -1)
     while True:
         open_ = now.where(F.col("up").isNotNull())
-        n, image, lows = open_.agg(F.count("*"), F.count_distinct("up"), F.sum("low")).first()
+        n, image, lows = open_.agg(F.count("*"), F.count_distinct("up"), F.sum(F.col("low").cast("decimal(20,0)"))).first()
         # Nothing reached a root in this round: along a finite line of parents
         # every depth occurs, so all open nodes are endless. An image that no
         # longer shrinks is the cycles; minima that no longer change are theirs.
@@ -125,28 +128,28 @@ def _euler_tour(trees: DataFrame, scratch: Scratch) -> DataFrame:
     return one.select("node", F.inline(F.array(down, up)))
 
 
-def _rank_locally(batches):
+def _rank_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pointer jumping over whole lists within one task."""
-    parts = list(batches)
+    parts = [b for b in batches if b.num_rows]
     if not parts:
         return
-    t = pd.concat(parts, ignore_index=True)
-    if t.empty:
-        return
-    ix = pd.MultiIndex.from_arrays([t["node"], t["side"]])
-    to = ix.get_indexer(pd.MultiIndex.from_arrays([t["next_node"].fillna(0).astype("int64"), t["next_side"].fillna(-1).astype("int32")]))
-    to = np.where(t["next_node"].isna(), np.arange(len(t)), to)
-    ahead, balance = t["ahead"].to_numpy().copy(), t["balance"].to_numpy().copy()
-    tail = to == np.arange(len(t))
+    t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    node, side, nxt, nxt_side, ahead, balance = (column(t, c) for c in ("node", "side", "next_node", "next_side", "ahead", "balance"))
+    last = np.asarray(t.column(2).is_null())
+    ix = pd.MultiIndex.from_arrays([node, side])
+    to = np.where(last, np.arange(len(node)), ix.get_indexer(pd.MultiIndex.from_arrays([nxt, nxt_side])))
+    ahead, balance = ahead.copy(), balance.copy()
+    tail = to == np.arange(len(node))
     ahead[tail], tail_balance = 0, np.where(tail, balance, 0)
     balance[tail] = 0
     while True:
-        nxt = to[to]
+        far = to[to]
         ahead, balance = ahead + ahead[to], balance + balance[to]
-        if (nxt == to).all():
+        if (far == to).all():
             break
-        to = nxt
-    yield pd.DataFrame({"node": t["node"], "side": t["side"], "ahead": ahead, "balance": balance + tail_balance[to], "tail": t["node"].to_numpy()[to]})
+        to = far
+    cols = [node, side, ahead, balance + tail_balance[to], node[to]]
+    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["node", "side", "ahead", "balance", "tail"])
 
 
 def rank_lists(elements: DataFrame, scratch: Scratch) -> DataFrame:
@@ -159,7 +162,7 @@ def rank_lists(elements: DataFrame, scratch: Scratch) -> DataFrame:
     """
     schema = "node bigint, side int, ahead bigint, balance bigint, tail bigint"
     if elements.count() <= LOCAL_RANK_ROWS:
-        return scratch.put(elements.coalesce(1).mapInPandas(_rank_locally, schema))
+        return scratch.put(elements.coalesce(1).mapInArrow(_rank_locally, schema))
     is_split = lambda n, s: F.pmod(F.xxhash64(n, s), F.lit(SPLIT_EVERY)) == 0
     # Walk to the next splitter (or the end) from every element.
     now = scratch.put(

@@ -137,7 +137,7 @@ def balanced_prev(df: DataFrame, keys: list[str], order: list[str], values: list
     row before is the next one.
     """
     back = [f"_r{i}" for i in range(len(order))]
-    turned = df.withColumns({b: -F.col(o).cast("bigint") for b, o in zip(back, order)})
+    turned = df.withColumns({b: F.bitwise_not(F.col(o).cast("bigint")) for b, o in zip(back, order)})
     out = balanced_next(turned, keys, back, values, scratch, extra=[c for c in df.columns if c not in keys])
     return out.select(*df.columns, *[F.col(f"next_{v}").alias(f"prev_{v}") for v in values])
 

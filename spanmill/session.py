@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session names no folder that all executors share."""
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is set.
+    Where the session names none, a temporary folder is set, but only if the
+    master is local[...]: on a cluster each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spanmill-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -45,12 +52,17 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def close(self) -> None:
+        """Deletes all tables of this operator; its results can't be read after that."""
+        self._delete(self.base)
+
     def drop(self, *dfs: DataFrame) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -59,11 +71,3 @@ def is_empty(df: DataFrame) -> bool:
 
 class TooLargeToBroadcast(ValueError):
     """A table meant for every executor is larger than its stated bound."""
-
-
-def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
-    """Rows of a table that must be small; the bound is checked, not assumed."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise TooLargeToBroadcast(f"{what} has more than {max_rows} rows")
-    return rows

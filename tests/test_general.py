@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from spanmill.operators import balanced, bins, grid, hierarchy, intervals
 
@@ -102,3 +103,21 @@ def test_basic_trace(spark):
     assert [(r.start_ns, r.end_ns, r.state, r.before_trace) for r in late] == [(0, 70, None, True)]
     empty = spark.createDataFrame([], EVENT_SCHEMA)
     assert intervals.trace_extent(empty).first()[2] == 0 and intervals.goroutine_spans(empty).count() == 0
+
+
+def test_ids_near_the_largest_long(spark):
+    top = 2**63 - 1
+    df = spark.createDataFrame([(top, top - 1), (top - 1, top - 2), (top - 2, None), (top - 3, top - 4), (top - 4, top - 3), (-(2**63) + 5, top - 3)], "g_id bigint, parent bigint")
+    assert {tuple(r) for r in hierarchy.endless_nodes(df).collect()} == {(top - 3, top - 4), (top - 4, top - 4), (-(2**63) + 5, top - 4)}
+    assert {(r.g_id, r.root, r.depth) for r in hierarchy.hierarchy(df).collect()} == {(top, top - 2, 2), (top - 1, top - 2, 1), (top - 2, top - 2, 0)}
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from spanmill import session
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(session.NoSharedFolder):
+        session.checkpoint_root(SimpleNamespace(conf=conf, sparkContext=context))

@@ -1,8 +1,6 @@
-import pytest
-
 from spanmill.api import TraceDataset
 from spanmill.operators.coverage import gaps
-from spanmill.session import TooLargeToBroadcast, bounded_collect, table
+from spanmill.session import table
 from spanmill.sources.files import TraceHeaderSource, read_events, write_statistics_csv
 from spanmill.streaming.stateful import bursts, busy_windows, coverage_state, open_spans
 
@@ -63,8 +61,3 @@ def test_sources(spark, sf_dir, tmp_path):
     assert out == {"ok": ("1.22", None), "short": (None, "shorter than a header"), "other": (None, "not a trace")}
     write_statistics_csv(spark.createDataFrame([("Active", 1)], "State string, Count bigint"), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["State", "Count"]
-
-
-def test_bounds_are_checked(spark):
-    with pytest.raises(TooLargeToBroadcast):
-        bounded_collect(spark.range(11), 10, "numbers")
