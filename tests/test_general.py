@@ -121,3 +121,24 @@ def test_no_shared_folder_on_a_cluster():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(session.NoSharedFolder):
         session.checkpoint_root(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_values_in_hidden_blocks(spark):
+    """A season of any period beats the straight line between the ends; without one nothing is worse."""
+    rng = np.random.default_rng(11)
+    n, rows, hidden, truth = 3000, [], np.zeros(3000, dtype=bool), {}
+    for at in np.cumsum(rng.integers(50, 150, 25)):
+        hidden[at : at + 25] = True
+    t = np.arange(n)
+    truth[1] = 1000 * np.sin(2 * np.pi * t / 61.7) + 300 * np.cos(4 * np.pi * t / 61.7) + 0.3 * t + rng.normal(0, 60, n)
+    truth[2] = np.cumsum(rng.normal(0, 100, n))
+    for s, y in truth.items():
+        truth[s] = y = np.round(y)
+        rows += [(s, "m", int(i) * 1000, int(y[i]), None) for i in t[~hidden]]
+    g = grid.regular_grid(spark.createDataFrame(rows, METRICS), spark.createDataFrame([(1, 1000, None), (2, 1000, None)], SERIES)).toPandas()
+    error = {}
+    for s, y in truth.items():
+        x = g[(g.series_id == s) & g.filled].sort_values("slot")
+        assert x.slot.tolist() == t[hidden].tolist()
+        error[s] = np.abs(x.value.to_numpy() - y[hidden]).mean() / np.abs(np.interp(t[hidden], t[~hidden], y[~hidden]) - y[hidden]).mean()
+    assert error[1] < 0.25 and error[2] < 1.02
