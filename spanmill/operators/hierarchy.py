@@ -25,6 +25,8 @@ from .sweep import balanced_next, column
 LOCAL_RANK_ROWS = 1 << 18
 #: One element in so many is a splitter.
 SPLIT_EVERY = 16
+#: Places of a tree's depth-first order that are one block of `descendants`.
+PLACES = 1024
 
 
 def parent_links(df: DataFrame, node: str = "g_id", parent: str = "parent") -> DataFrame:
@@ -231,6 +233,46 @@ def hierarchy(df: DataFrame, node: str = "g_id", parent: str = "parent") -> Data
     )
 
 
+def _placed(tree: DataFrame, node: str, prefix: str) -> DataFrame:
+    """Nodes with their place in depth-first order: a subtree is a stretch of it."""
+    at = (F.col("entry") + F.col("depth")) / 2
+    return tree.select(F.col("root").alias("_root"), F.col(node).alias(f"{prefix}node"), F.col("depth").alias(f"{prefix}depth"), at.cast("bigint").alias(f"{prefix}at"), F.col("n_descendants").alias(f"{prefix}n"))
+
+
+def descendants(tree: DataFrame, of: DataFrame, node: str = "g_id") -> DataFrame:
+    """(node, descendant, distance) of the nodes listed in `of`, from the intervals of `hierarchy`.
+
+    A subtree is a stretch of the tree's depth-first order. Stretches are cut
+    into blocks of places and meet the nodes of their blocks, so that neither
+    one large tree nor one large subtree becomes one task's burden. Nodes that
+    are not in the tree have none.
+    """
+    a = _placed(tree.join(of.select(node).distinct(), node, "left_semi"), node, "a_").where("a_n > 0")
+    a = a.withColumn("_block", F.explode(F.expr(f"sequence((a_at + 1) div {PLACES}, (a_at + a_n) div {PLACES})")))
+    b = _placed(tree, node, "b_").withColumn("_block", F.expr(f"b_at div {PLACES}"))
+    pairs = a.join(b, ["_root", "_block"]).where("b_at > a_at and b_at <= a_at + a_n")
+    return pairs.select(F.col("a_node").alias(node), F.col("b_node").alias("descendant"), (F.col("b_depth") - F.col("a_depth")).alias("distance"))
+
+
+def ancestors(tree: DataFrame, of: DataFrame, node: str = "g_id") -> DataFrame:
+    """(node, ancestor, distance) of the nodes listed in `of`, from the intervals of `hierarchy`.
+
+    Each subtree's stretch is cut into blocks whose width is a power of two and
+    which begin at a multiple of it, at most two of a width. A node lies in one
+    block of each width, so it meets each ancestor once and nothing else: work
+    grows with the tree's size times its logarithm, and with the result.
+    """
+    a = _placed(tree, node, "a_").where("a_n > 0")
+    a = a.withColumn("_level", F.explode(F.expr("sequence(0, cast(floor(log2(a_n)) as int))")))
+    # the stretch [at + 1, at + n + 1) in units of the width, from inside
+    a = a.withColumns({"_lo": F.expr("shiftright(a_at + shiftleft(1L, _level), _level)"), "_hi": F.expr("shiftright(a_at + a_n + 1, _level)")}).where("_lo < _hi")
+    a = a.withColumn("_block", F.explode(F.expr("filter(array(if(_lo % 2 = 1, _lo, null), if(_hi % 2 = 1, _hi - 1, null)), x -> x is not null)")))
+    b = _placed(tree.join(of.select(node).distinct(), node, "left_semi"), node, "b_").where("b_at > 0")
+    b = b.withColumn("_level", F.explode(F.expr("sequence(0, cast(floor(log2(b_at)) as int))"))).withColumn("_block", F.expr("shiftright(b_at, _level)"))
+    pairs = a.join(b, ["_root", "_level", "_block"])
+    return pairs.select(F.col("b_node").alias(node), F.col("a_node").alias("ancestor"), (F.col("b_depth") - F.col("a_depth")).alias("distance"))
+
+
 def paths(df: DataFrame, node: str = "g_id", parent: str = "parent") -> DataFrame:
     """(node, root, depth, path) of each node of the trees; path leads from the root to the node.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.states import with_state_code
 from ..operators import balanced, coverage, grid, hierarchy
 from ..session import table
+from ..streaming import stateful
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,11 @@ def p2_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.periods(table(spark, sf_dir, "spans"))
 
 
+def p2_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_found from a stream of spans: interval maps in keyed state, changes appended, stretches joined."""
+    return stateful.streamed_gaps(spark, f"{sf_dir}/spans.parquet")
+
+
 def p3_goroutine_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "spans").where("container = 'G' and track = 'state'")
     coded = with_state_code(spans.select("container_id", "seq", "span_id", "start_ns", "end_ns", "state"), table(spark, sf_dir, "state_dim"))
@@ -32,6 +38,18 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.hierarchy(table(spark, sf_dir, "goroutines"))
 
 
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every goroutine whose id is divisible by 50, the stated query set, among all."""
+    t = hierarchy.hierarchy(table(spark, sf_dir, "goroutines"))
+    return hierarchy.descendants(t, t.where("g_id % 50 = 0").select("g_id"))
+
+
+def p5_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ancestors of every goroutine whose id is divisible by 50, among all."""
+    t = hierarchy.hierarchy(table(spark, sf_dir, "goroutines"))
+    return hierarchy.ancestors(t, t.where("g_id % 50 = 0").select("g_id"))
+
+
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hierarchy.paths(table(spark, sf_dir, "goroutines"))
     return out.select("g_id", "root", "depth", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
@@ -51,7 +69,7 @@ def p6_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("series_id", "slot", F.round("y", 3).alias("value"), F.col("n").alias("n_readings"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_periods, p3_goroutine_summary, p5_found, p5_hierarchy, p5_paths, p6_found, p6_grid, p6_observed)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_periods, p2_streamed, p3_goroutine_summary, p5_found, p5_hierarchy, p5_descendants, p5_ancestors, p5_paths, p6_found, p6_grid, p6_observed)}
 
 _COVER = """
 WITH s AS (
@@ -85,6 +103,7 @@ _SLOTS = """obs AS (
 
 ORACLE = {
     "p2_found": _COVER + " SELECT container, container_id, m AS gap_start, start_ns AS gap_end FROM o WHERE start_ns > m",
+    "p2_streamed": _COVER + " SELECT container, container_id, m AS gap_start, start_ns AS gap_end FROM o WHERE start_ns > m",
     "p2_periods": _COVER
     + """, r AS (
   SELECT *, sum(CASE WHEN m IS NULL OR start_ns > m THEN 1 ELSE 0 END) OVER (PARTITION BY container, container_id ORDER BY start_ns, e) AS island FROM o
@@ -125,6 +144,20 @@ SELECT w.g_id, min(w.pos) AS cycle_g_id FROM walk w WHERE w.pos IN (SELECT g_id
   SELECT u.g_id, CAST(sum(o.before + 1) AS BIGINT) AS entry FROM up u JOIN off o ON o.g_id = u.anc GROUP BY u.g_id
 ) SELECT t2.g_id, root, depth, coalesce(entry, 0) AS entry, coalesce(entry, 0) + 2 * nd + 2 AS exit, nd AS n_descendants
 FROM t2 LEFT JOIN pos USING (g_id)""",
+    "p5_descendants": "WITH RECURSIVE "
+    + _LINKS
+    + """, d AS (
+  SELECT t.g_id AS g_id, t.g_id AS pos, CAST(0 AS BIGINT) AS distance FROM tree t WHERE g_id % 50 = 0
+  UNION ALL
+  SELECT d.g_id, l.g_id, d.distance + 1 FROM d JOIN links l ON l.parent = d.pos
+) SELECT g_id, pos AS descendant, distance FROM d WHERE distance > 0""",
+    "p5_ancestors": "WITH RECURSIVE "
+    + _LINKS
+    + """, u AS (
+  SELECT t.g_id AS g_id, t.g_id AS pos, CAST(0 AS BIGINT) AS distance FROM tree t WHERE g_id % 50 = 0
+  UNION ALL
+  SELECT u.g_id, l.parent, u.distance + 1 FROM u JOIN links l ON l.g_id = u.pos WHERE l.parent IS NOT NULL
+) SELECT g_id, pos AS ancestor, distance FROM u WHERE distance > 0""",
     "p5_paths": "WITH RECURSIVE " + _LINKS + " SELECT g_id, root, depth, path FROM tree",
     "p6_observed": """
 SELECT m.series_id, CAST(floor(m.ts / s.step_ns) AS BIGINT) AS slot, round(avg(CAST(reading AS DOUBLE)), 3) AS value, count(*) AS n_readings

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.coverage import FOREVER, IntervalMap
+from ..operators.coverage import FOREVER, IntervalMap, gaps
+from ..session import Scratch
 
 
 def event_time(df: DataFrame, ts: str = "ts", name: str = "event_time") -> DataFrame:
@@ -45,27 +46,80 @@ def open_spans(events: DataFrame, key: str = "g", state: str = "state") -> DataF
     return rows.groupBy(key).applyInPandasWithState(step, out, "event_id bigint, ts bigint, state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def coverage_state(spans: DataFrame, k1: str = "container", k2: str = "container_id") -> DataFrame:
-    """Gaps (k1, k2, gap_start, gap_end) of each entity after each batch that touched it.
+#: Width of the stretches of time that an entity's interval map is split into.
+STRETCH_NS = 3_600_000_000_000
+#: A span that stays open has one row beyond all stretches, from its start on.
+_OPEN = 2**62
 
-    The keyed state is the entity's ordered map of disjoint intervals; spans may
+
+def stretches(spans: DataFrame, k1: str, k2: str, width: int = STRETCH_NS) -> DataFrame:
+    """(k1, k2, stretch, start_ns, end_ns): spans cut at the borders of stretches.
+
+    Only the first and last stretch of a span are cut out, and what lies
+    between is one row keyed by its first whole stretch: a span gives three
+    rows at most, however long it is.
+    """
+    rows = spans.where(F.col(k1).isNotNull() & F.col(k2).isNotNull() & F.col("start_ns").isNotNull() & (F.col("end_ns").isNull() | (F.col("end_ns") > F.col("start_ns"))))
+    rows = rows.select(k1, k2, F.col("start_ns").cast("bigint").alias("s"), F.coalesce(F.col("end_ns").cast("bigint"), F.lit(FOREVER)).alias("e"))
+    rows = rows.withColumns({"_a": F.expr(f"cast((s - pmod(s, {width}L)) div {width} as bigint)"), "_b": F.expr(f"cast(((e - 1) - pmod(e - 1, {width}L)) div {width} as bigint)")})
+    piece = lambda stretch, s, e: f"struct({stretch} as stretch, {s} as start_ns, {e} as end_ns)"
+    whole = piece("-2 - abs(_a)", f"(_a + 1) * {width}L", f"_b * {width}L")
+    cut = F.expr(
+        f"case when e = {FOREVER}L then array({piece(f'{_OPEN}L', 's', 'e')}) when _a = _b then array({piece('_a', 's', 'e')}) "
+        f"when _b = _a + 1 then array({piece('_a', 's', f'_b * {width}L')}, {piece('_b', f'_b * {width}L', 'e')}) "
+        f"else array({piece('_a', 's', f'(_a + 1) * {width}L')}, {whole}, {piece('_b', f'_b * {width}L', 'e')}) end"
+    )
+    return rows.select(k1, k2, F.inline(cut))
+
+
+def coverage_state(spans: DataFrame, k1: str = "container", k2: str = "container_id", width: int = STRETCH_NS) -> DataFrame:
+    """Changes (k1, k2, stretch, period_start, period_end, change) of each entity's
+    periods: 1 where one appears, -1 where one is gone.
+
+    The keyed state is the ordered map of disjoint intervals of an entity in a
+    stretch of time, so it stays small however long an entity lives. Spans may
     come in any order, repeated or late: an insertion finds the intervals that
-    it touches by binary search and merges them.
+    it touches by binary search and merges them, and only what it changed goes
+    out. `periods_of` adds the changes up.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
         held = IntervalMap(*st.get) if st.exists else IntervalMap()
+        before = set(zip(held.starts.tolist(), held.ends.tolist()))
         for b in batches:
-            b = b.dropna(subset=["start_ns"])
-            end = np.array([FOREVER if pd.isna(x) else int(x) for x in b["end_ns"]], dtype=np.int64)
-            held.insert(b["start_ns"].to_numpy(dtype=np.int64), end)
+            held.insert(b["start_ns"].to_numpy(dtype=np.int64), b["end_ns"].to_numpy(dtype=np.int64))
+        after = list(zip(held.starts.tolist(), held.ends.tolist()))
         st.update((held.starts.tolist(), held.ends.tolist()))
-        a, b = held.gaps()
-        yield pd.DataFrame({k1: [k[0]] * len(a), k2: [k[1]] * len(a), "gap_start": a, "gap_end": b})
+        rows = [(*p, 1) for p in after if p not in before] + [(*p, -1) for p in before.difference(after)]
+        if rows:
+            start, end, change = zip(*rows)
+            yield pd.DataFrame({k1: [k[0]] * len(rows), k2: [k[1]] * len(rows), "stretch": [k[2]] * len(rows), "period_start": start, "period_end": end, "change": change})
+
+    out = f"{k1} string, {k2} bigint, stretch bigint, period_start bigint, period_end bigint, change int"
+    state = "starts array<bigint>, ends array<bigint>"
+    return stretches(spans, k1, k2, width).groupBy(k1, k2, "stretch").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+
 
-    out = f"{k1} string, {k2} bigint, gap_start bigint, gap_end bigint"
-    rows = spans.select(k1, k2, "start_ns", "end_ns")
-    return rows.groupBy(k1, k2).applyInPandasWithState(step, out, "starts array<bigint>, ends array<bigint>", "update", GroupStateTimeout.NoTimeout)
+def periods_of(changes: DataFrame, k1: str = "container", k2: str = "container_id") -> DataFrame:
+    """(k1, k2, start_ns, end_ns): the periods of each stretch after all changes; a null end is never."""
+    now = changes.groupBy(k1, k2, "stretch", "period_start", "period_end").agg(F.sum("change").alias("n")).where("n > 0")
+    return now.select(k1, k2, F.col("period_start").alias("start_ns"), F.when(F.col("period_end") < FOREVER, F.col("period_end")).alias("end_ns"))
+
+
+def streamed_gaps(spark: SparkSession, path: str, files_per_batch: int = 1000, width: int = STRETCH_NS) -> DataFrame:
+    """Gaps of the spans in files under `path`, read as a stream until all that is there now is taken in.
+
+    Changes are appended to a table in the shared folder; stretches are joined
+    where they meet by the batch operator, over periods instead of spans.
+    """
+    scratch = Scratch(spark, "coverage")
+    # as a pattern, since a stream takes one file for its base folder otherwise
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    schema = spark.read.parquet(path).schema
+    changes = coverage_state(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern), width=width)
+    q = changes.writeStream.format("parquet").option("path", f"{scratch.base}/changes").option("checkpointLocation", f"{scratch.base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return gaps(periods_of(spark.read.schema(changes.schema).parquet(f"{scratch.base}/changes")))
 
 
 def busy_windows(events: DataFrame, key: str, width: str = "100 milliseconds", late: str = "10 minutes") -> DataFrame:

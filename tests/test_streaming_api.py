@@ -2,7 +2,7 @@ from spanmill.api import TraceDataset
 from spanmill.operators.coverage import gaps
 from spanmill.session import table
 from spanmill.sources.files import TraceHeaderSource, read_events, write_statistics_csv
-from spanmill.streaming.stateful import bursts, busy_windows, coverage_state, open_spans
+from spanmill.streaming.stateful import bursts, busy_windows, coverage_state, open_spans, streamed_gaps
 
 
 def run(df, name, mode):
@@ -26,11 +26,28 @@ def test_open_spans(spark, tmp_path):
 
 
 def test_coverage_stream_ends_as_the_batch(spark, tmp_path):
-    rows = [("G", i % 3, (i * 37) % 500, (i * 37) % 500 + 4) for i in range(90)] + [("G", 1, 900, None)]
+    big = 2**60
+    rows = [("G", i % 3, (i * 37) % 500, (i * 37) % 500 + 1 + i % 9) for i in range(90)] + [("G", 1, 900, None), ("G", 1, 950, 960), ("G", 2, 700, 1200), ("P", 0, big + 1, big + 3), ("P", 0, big + 5, big + 6)]
+    rows += [("P", 1, 5, 5), ("P", None, 1, 2), (None, 1, 1, 2), ("P", 1, None, 4), ("P", 2, -30, -20), ("P", 2, -11, 7), ("G", 0, 0, 4)]
     df = spark.createDataFrame(rows, "container string, container_id bigint, start_ns bigint, end_ns bigint")
-    df.coalesce(1).write.parquet(str(tmp_path / "c"))
-    out = run(coverage_state(spark.readStream.schema(df.schema).parquet(str(tmp_path / "c"))), "covered", "update")
-    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in gaps(df).collect()}
+    df.repartition(3).write.parquet(str(tmp_path / "c"))
+    want = {tuple(r) for r in gaps(df).collect()}
+    assert len(want) > 20
+    for width in (16, 1000):
+        assert {tuple(r) for r in streamed_gaps(spark, str(tmp_path / "c"), files_per_batch=1, width=width).collect()} == want
+
+
+def test_coverage_state_sends_changes_only(spark, tmp_path):
+    schema = "container string, container_id bigint, start_ns bigint, end_ns bigint"
+    for i, rows in enumerate([[("G", 1, 0, 5), ("G", 1, 10, 15), ("G", 1, 20, 25)], [("G", 1, 5, 10)], [("G", 1, 6, 7)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    got = run(coverage_state(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "d"))), "changes", "append").collect()
+    total = {}
+    for r in got:
+        total[r.period_start, r.period_end] = total.get((r.period_start, r.period_end), 0) + r.change
+    assert {k for k, n in total.items() if n} == {(0, 15), (20, 25)}
+    # the third file changes nothing
+    assert len(got) <= 3 + 3
 
 
 def test_windows_and_sessions(spark, tmp_path):
