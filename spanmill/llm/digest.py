@@ -17,15 +17,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sweep import column, starts_of
-from ..session import Scratch
+from ..session import Scratch, is_empty
 
 #: Compression: a digest of any number of values has at most delta / 2 + 1 centroids.
 DELTA = 400
-#: Rows that are clustered at once in a task.
+#: Rows or centroids that are clustered at once in a task.
 CHUNK_ROWS = 200_000
-#: Keys with more than 1/HEAVY of all rows are salted in the counting pass; fewer than HEAVY keys can be.
-HEAVY = 512
-SALTS = 32
+#: Digests of so many tasks are merged first, then what comes of them.
+FAN = 128
+#: In the counting pass no task gets more than about 1/HEAVY of all rows of a key: a key with more is salted, and fewer than HEAVY keys can have more.
+HEAVY = 4096
+#: Keys with a larger rank error are done again with a finer digest.
+MAX_RANK_ERROR = 0.01
 
 _CENTROID = "mean double, weight bigint, low double, high double"
 
@@ -39,9 +42,10 @@ def _cluster_column(q: Column, delta: float) -> Column:
 
 
 def _partial(keys: list[str], types: dict, delta: float):
-    """Digests of the rows of one task, chunk by chunk."""
+    """Digests of the rows of one task: each chunk is merged into what the task has so far."""
+    names = [*keys, "mean", "weight", "low", "high"]
 
-    def digest(t: pa.Table) -> pa.RecordBatch:
+    def digest(t: pa.Table) -> pa.Table:
         # whole-number codes for the key columns, in any order
         codes = np.zeros(len(t), dtype=np.int64)
         for k in keys:
@@ -49,30 +53,44 @@ def _partial(keys: list[str], types: dict, delta: float):
             ix = c.indices.fill_null(len(c.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
             codes = codes * (len(c.dictionary) + 1) + ix
             _, codes = np.unique(codes, return_inverse=True)
-        v = t["_value"].to_numpy()
-        order = np.lexsort((v, codes))
-        codes, v = codes[order], v[order]
+        mean, weight, low, high = (t[c].to_numpy() for c in names[-4:])
+        order = np.lexsort((high, low, mean, codes))
+        codes, mean, weight, low, high = codes[order], mean[order], weight[order], low[order], high[order]
         at = starts_of(codes)
-        n = np.diff(np.append(at, len(v)))
-        size, rank = np.repeat(n, n), np.arange(len(v)) - np.repeat(at, n)
-        cut = starts_of(codes, _cluster_of((rank + 0.5) / size, delta))
-        weight = np.diff(np.append(cut, len(v)))
-        rows = t.select(keys).take(pa.array(order[cut])).combine_chunks().to_batches()[0]
-        last = np.append(cut[1:], len(v)) - 1
-        cols = [pa.array(np.add.reduceat(v, cut) / weight), pa.array(weight), pa.array(v[cut]), pa.array(v[last])]
-        return pa.RecordBatch.from_arrays([*rows.columns, *cols], names=[*keys, "mean", "weight", "low", "high"])
+        n = np.diff(np.append(at, len(mean)))
+        upto = np.cumsum(weight)
+        before = np.repeat(np.append(0, upto)[at], n)
+        size = np.repeat(np.add.reduceat(weight, at), n)
+        cut = starts_of(codes, _cluster_of((upto - before - weight / 2) / size, delta))
+        total = np.add.reduceat(weight, cut)
+        rows = t.select(keys).take(pa.array(order[cut]))
+        cols = [np.add.reduceat(mean * weight, cut) / total, total, np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)]
+        for c, v in zip(names[-4:], cols):
+            rows = rows.append_column(c, pa.array(v))
+        return rows
+
+    def single(b: pa.RecordBatch) -> pa.Table:
+        t, v = pa.Table.from_batches([b]), b.column(b.schema.get_field_index("_value"))
+        t = t.select(keys)
+        for c, x in zip(names[-4:], (v, pa.array(np.ones(len(v), dtype=np.int64)), v, v)):
+            t = t.append_column(c, x)
+        return t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
             if b.num_rows:
-                held.append(b)
+                held.append(single(b))
                 n += b.num_rows
             if n >= CHUNK_ROWS:
-                yield digest(pa.Table.from_batches(held))
-                held, n = [], 0
+                done = digest(pa.concat_tables(held))
+                held, n = [done], len(done)
+                # so many keys that their centroids alone are half a chunk: these go on as they are
+                if n > CHUNK_ROWS // 2:
+                    yield from done.combine_chunks().to_batches()
+                    held, n = [], 0
         if n:
-            yield digest(pa.Table.from_batches(held))
+            yield from digest(pa.concat_tables(held)).combine_chunks().to_batches()
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + _CENTROID
     return run, schema
@@ -82,7 +100,8 @@ def merge_digests(centroids: DataFrame, keys: list[str], delta: float = DELTA) -
     """One digest per key from any number of digests: sorted, clustered again.
 
     Window and grouping share one exchange. A key has at most delta / 2 + 1
-    centroids for each digest that is merged.
+    centroids for each digest that is merged; `build_digests` merges those of
+    FAN tasks at a time, so that a key with rows in every task stays small here.
     """
     every = Window.partitionBy(*keys)
     upto = every.orderBy("mean", "low", "high", "weight").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -101,7 +120,8 @@ def build_digests(df: DataFrame, keys: list[str], value: str, delta: float = DEL
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_value"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     run, schema = _partial(keys, types, delta)
-    return merge_digests(rows.mapInArrow(run, schema), keys, delta)
+    parts = rows.mapInArrow(run, schema).withColumn("_group", F.expr(f"spark_partition_id() div {FAN}"))
+    return merge_digests(merge_digests(parts, [*keys, "_group"], delta).drop("_group"), keys, delta)
 
 
 def quantiles(digests: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
@@ -132,19 +152,18 @@ def certified(df: DataFrame, keys: list[str], value: str, row_id: str, estimates
     (keys, n, q, estimate, n_below, n_upto, rank_error): how many values lie
     below the estimate and up to it; rank_error is how far q * n is from that
     stretch, as a share of n (half a row is allowed for, as a quantile may
-    stand between two rows). Keys with a large share of the rows are salted:
-    fewer than HEAVY keys can have more than 1/HEAVY of all rows.
+    stand between two rows). Keys with more than 1/HEAVY of all rows are cut
+    into pieces of about that size by a hash of the row id.
     """
     per_key = estimates.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("q", "estimate"))).alias("_e"))
     total = per_key.agg(F.sum("n")).first()[0] or 0
-    heavy = F.when(F.col("n") * HEAVY > total, SALTS).otherwise(1)
-    per_key = per_key.withColumn("_salts", heavy)
+    per_key = per_key.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col("n") * HEAVY / F.lit(max(1, total)))).cast("bigint"))
     # At most HEAVY - 1 rows, because their shares sum to 1 or less.
     few = F.broadcast(per_key.where("_salts > 1").select(*keys, F.col("_salts").alias("_s")))
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_value"), F.xxhash64(row_id).alias("_h"))
     same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
     rows = rows.join(few, same(rows, few), "left").select(*[rows[k] for k in keys], "_value", F.pmod("_h", F.coalesce("_s", F.lit(1))).alias("_salt"))
-    spread = per_key.select(*keys, "n", "_e", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts").cast("bigint") - 1)).alias("_salt"))
+    spread = per_key.select(*keys, "n", "_e", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)).alias("_salt"))
     joined = rows.join(spread, [*same(rows, spread), rows["_salt"] == spread["_salt"]])
     m = estimates.select("q").distinct().count() or 1
     counts = [F.sum((F.col("_value") < F.col("_e")[i]["estimate"]).cast("bigint")).alias(f"_b{i}") for i in range(m)]
@@ -158,13 +177,29 @@ def certified(df: DataFrame, keys: list[str], value: str, row_id: str, estimates
     return out.withColumn("rank_error", error)
 
 
-def percentiles_over_days(df: DataFrame, keys: list[str], day: str, value: str, row_id: str, qs: list[float], delta: float = DELTA) -> DataFrame:
+def percentiles_over_days(
+    df: DataFrame, keys: list[str], day: str, value: str, row_id: str, qs: list[float], delta: float = DELTA, max_rank_error: float = MAX_RANK_ERROR
+) -> DataFrame:
     """Certified percentiles over all days, merged from one digest per key and day.
 
     `df` must have each row once. It is written once and read for both passes.
+    Keys of which a percentile's certified rank error is above max_rank_error
+    are done again with a digest four times as fine, until none is left: the
+    bound holds for every row of the result.
     """
     scratch = Scratch(df.sparkSession, "digest")
     rows = scratch.put(df.select(*keys, day, value, row_id))
-    daily = build_digests(rows, [*keys, day], value, delta)
-    estimates = scratch.put(quantiles(merge_digests(daily, keys, delta), keys, qs))
-    return certified(rows, keys, value, row_id, estimates)
+    out = None
+    while True:
+        daily = build_digests(rows, [*keys, day], value, delta)
+        estimates = scratch.put(quantiles(merge_digests(daily, keys, delta), keys, qs))
+        now = scratch.put(certified(rows, keys, value, row_id, estimates))
+        bad = now.where(F.col("rank_error") > max_rank_error).select(*keys).distinct()
+        if is_empty(bad):
+            return now if out is None else out.unionByName(now)
+        bad = scratch.put(bad)
+        among = lambda a: [a[k].eqNullSafe(bad[k]) for k in keys]
+        fine = now.join(bad, among(now), "left_anti")
+        out = fine if out is None else out.unionByName(fine)
+        rows = scratch.put(rows.join(bad, among(rows), "left_semi"))
+        delta *= 4

@@ -11,6 +11,7 @@ windows of 7 words miss none.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import TooLargeToBroadcast
 from .text import words
 
 MIN_WORDS = 20
 MAX_EDITS = 2
-#: Characters of evaluation text that are held by every task at once; more is scanned in blocks.
+#: Characters of evaluation text that are held by every task at once; more is scanned in so many blocks as it takes.
 BLOCK_CHARS = 16_000_000
 
 _MULT = 0x9E3779B97F4A7C15
@@ -127,16 +127,18 @@ def leaked(index: ItemIndex, ids: list[int], hits: list[tuple[int, int, int]], m
 _held: dict = {}
 
 
-def _index(block, gram: int) -> ItemIndex:
+def _index(block: str, rows: list, gram: int) -> ItemIndex:
     """The index of a broadcast block, built once a worker process."""
-    if _held.get("key") != (id(block.value), gram):
-        _held.update(key=(id(block.value), gram), index=ItemIndex(block.value, gram))
+    if _held.get("key") != (block, gram):
+        _held.update(key=(block, gram), index=ItemIndex(rows, gram))
     return _held["index"]
 
 
 def _scan(block, gram: int, min_words: int, max_edits: int):
+    name = uuid.uuid4().hex  # workers outlive queries: no two blocks may have one name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = _index(block, gram)
+        ix = _index(name, block.value, gram)
         get = ix.vocab.get
         for batch in batches:
             out = []
@@ -174,22 +176,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, ma
     spark = docs.sparkSession
     gram = -(-min_words // (max_edits + 1))
     items = items.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.max("text").alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * chars // block_chars)) if chars > block_chars else 1
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    schema = "doc_id bigint, item_id bigint, n_words int, first_word int, last_word int"
     out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        size = part.agg(F.sum(F.length("text"))).first()[0] or 0
-        if size > 2 * block_chars and part.count() > 1:
-            raise TooLargeToBroadcast(f"a block of evaluation items has {size} characters")
-        block = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
-        found = rows.mapInArrow(_scan(block, gram, min_words, max_edits), "doc_id bigint, item_id bigint, n_words int, first_word int, last_word int")
+    for block in _blocks(items, block_chars):
+        found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(block), gram, min_words, max_edits), schema)
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "first_word", "last_word")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_words", "m.first_word", "m.last_word")
 
 
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of block_chars characters at most, one item at least.
+
+    Rows come to the driver a partition at a time and are let go block by block.
+    """
+    block, size = [], 0
+    for r in items.toLocalIterator():
+        if block and size + len(r["text"]) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+    if block:
+        yield block
+
+
 def without_leaked(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     """The documents in which no item leaked."""
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -36,6 +36,26 @@ def test_digests_merge_with_small_rank_error(spark):
     assert all(r["count"] <= digest.DELTA / 2 + 1 for r in one)
 
 
+def test_coarse_digests_are_done_again(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i % 2, 0, float(v), i) for i, v in enumerate(rng.lognormal(0, 5, 3000))], "k int, day int, v double, id bigint")
+    coarse = digest.certified(df, ["k"], "v", "id", digest.quantiles(digest.build_digests(df, ["k"], "v", 8), ["k"], [0.5, 0.9]))
+    assert max(r.rank_error for r in coarse.collect()) > 0.002
+    out = digest.percentiles_over_days(df, ["k"], "day", "v", "id", [0.5, 0.9], delta=8, max_rank_error=0.002).collect()
+    assert len(out) == 4 and max(r.rank_error for r in out) <= 0.002
+
+
+def test_chunks_of_a_task_merge(spark, monkeypatch):
+    monkeypatch.setattr(digest, "CHUNK_ROWS", 1000)
+    run, _ = digest._partial(["k"], {"k": "int"}, 50)
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, 20_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + 100) % 3), pa.array(v[i : i + 100])], names=["k", "_value"]) for i in range(0, len(v), 100)]
+    out = pa.Table.from_batches(list(run(iter(batches)))).to_pandas()
+    assert len(out) <= 3 * 26 and out.weight.sum() == len(v) and out.low.min() == v.min() and out.high.max() == v.max()
+    assert abs((out["mean"] * out.weight).sum() - v.sum()) < 1e-6
+
+
 def test_small_groups_have_exact_medians(spark):
     rows = [(k, float(x)) for k, xs in {1: [5], 2: [1, 2], 3: [3, 1, 9], 4: [1, 2, 10, 20], 5: [4, 4, 4, 4]}.items() for x in xs]
     q = digest.quantiles(digest.build_digests(spark.createDataFrame(rows, "k int, v double"), ["k"], "v"), ["k"], [0.5])
@@ -116,6 +136,27 @@ def test_pack_keeps_all_tokens(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, n_tokens bigint")).count() == 0
 
 
+def test_lots_and_rounds_lose_nothing(spark, monkeypatch):
+    """Many small lots and rounds: full containers, unique numbers, one at most half empty."""
+    monkeypatch.setattr(packing, "LOT_ROWS", 40)
+    rng = random.Random(9)
+    for choice in ([60] * 9 + [3, 40], range(1, 250), [51]):
+        df = spark.createDataFrame([(i, rng.choice(list(choice))) for i in range(2000)], "doc_id bigint, n_tokens bigint").repartition(9)
+        placed = spark.createDataFrame(packing.pack(df, capacity=100).toPandas())
+        assert tuple(packing.audit(placed, df, 100).first()) == (2000, 0, 0, 0, 0, 0)
+        assert placed.where("container_id < 0").groupBy("container_id").count().where("count > 1").count() == 0
+
+
+@given(st.lists(st.integers(1, 100), max_size=200))
+@settings(max_examples=40)
+def test_open_bins_are_bounded(used):
+    u = np.array(used, dtype=np.int64)
+    go = packing.still_open(u, 100, 0.01, 2)
+    for room in set(used):
+        n = used.count(room)
+        assert go[u == room].sum() == (0 if room >= 99 else n if room <= 50 else min(n, 2))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_tokenizers(name):
     count = packing.encoder(f"/opt/tokenizers/{name}")
