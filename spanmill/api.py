@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .functions.text import timeline_matches
-from .operators import bins, coverage, hierarchy, intervals, joins, stacks, stats
+from .operators import bins, coverage, hierarchy, intervals, joins, records, stacks, stats
 
 
 class TraceDataset:
@@ -30,6 +30,47 @@ class TraceDataset:
         out = self.spans().groupBy("g").agg(F.min("start_ns").alias("eff_start"), F.max("end_ns").alias("eff_end"), F.count("*").alias("n_spans"))
         return out.join(intervals.goroutine_functions(self.events, self.stacks), "g", "left") if self.stacks is not None else out
 
+    def tasks(self) -> DataFrame:
+        """Tasks and stubs; the log must have `task` and `log` (see sources.files.RECORD_SCHEMA)."""
+        return records.tasks(self.events)
+
+    def ranges(self) -> DataFrame:
+        """Ranges of the collector, of stops of the world, of goroutines and processors."""
+        return records.ranges(self.events)
+
+    def links(self) -> DataFrame:
+        return records.event_links(self.events)
+
+    def messages(self) -> DataFrame:
+        return records.event_messages(self.events, self.stacks)
+
+    def timelines(self) -> DataFrame:
+        return records.timelines(self.goroutines(), self.tasks())
+
+    def samples(self, by: str | None = None) -> DataFrame:
+        return records.samples(self.events, by)
+
+    @staticmethod
+    def _one(df: DataFrame, what: str, ident: int) -> Row:
+        row = df.head(1)
+        if not row:
+            raise KeyError(f"no {what} {ident}")
+        return row[0]
+
+    def goroutine(self, g: int) -> Row:
+        """One goroutine; KeyError if the trace has none of this id. The id goes down to the scan."""
+        one = TraceDataset(self.events.where((F.col("trans.res_kind") == "Goroutine") & (F.col("trans.res_id") == g) | (F.col("kind") != "StateTransition")), self.stacks)
+        return self._one(one.goroutines().where(F.col("g") == g), "goroutine", g)
+
+    def processor(self, p: int) -> Row:
+        """First start, last end and number of spans of one processor; KeyError if there is none."""
+        own = self.processors().where(F.col("p") == p)
+        return self._one(own.groupBy("p").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.count("*").alias("n_spans")), "processor", p)
+
+    def task(self, task_id: int) -> Row:
+        """One task; KeyError if the trace has none of this id."""
+        return self._one(self.tasks().where(F.col("task_id") == task_id), "task", task_id)
+
     def stats(self, by: tuple[str, ...] = ("state",)) -> DataFrame:
         return stats.compute_statistics(self.spans(), list(by))
 

@@ -47,6 +47,30 @@ def goroutine_label(g: Column, func: Column) -> Column:
     return F.when(func.isNull() | (func == ""), F.concat(F.lit("goroutine "), g)).otherwise(F.concat(F.lit("goroutine "), g, F.lit(": "), func))
 
 
+def task_label(task: Column, name: Column) -> Column:
+    return F.concat(F.lit("task "), F.format_number(task, 0), F.when(name != "", F.concat(F.lit(": "), name)).otherwise(""))
+
+
+def duration_si(d: Column) -> Column:
+    """The rounded duration in its largest unit below a minute, trailing zeros cut off: '1.5ms', '0s'."""
+    r = round_duration(d)
+
+    def part(unit: int, digits: int, label: str) -> Column:
+        whole, rest = F.floor(r / unit).cast("bigint"), F.pmod(r, F.lit(unit))
+        frac = F.rtrim(F.lpad(rest.cast("string"), digits, "0"), F.lit("0"))
+        return F.concat(whole.cast("string"), F.when(rest == 0, "").otherwise(F.concat(F.lit("."), frac)), F.lit(label))
+
+    minute, hour = 60_000_000_000, 3_600_000_000_000
+    seconds = lambda c: F.concat(F.floor(c / 1_000_000_000).cast("bigint").cast("string"), F.when(F.pmod(c, F.lit(1_000_000_000)) == 0, "").otherwise(F.concat(F.lit("."), F.rtrim(F.lpad(F.pmod(c, F.lit(1_000_000_000)).cast("string"), 9, "0"), F.lit("0")))), F.lit("s"))
+    long = F.concat(F.when(r >= hour, F.concat(F.floor(r / hour).cast("bigint").cast("string"), F.lit("h"))).otherwise(""), F.pmod(F.floor(r / minute).cast("bigint"), F.lit(60)).cast("string"), F.lit("m"), seconds(F.pmod(r, F.lit(minute))))
+    return F.when(r == 0, "0s").when(r < 1000, F.concat(r.cast("string"), F.lit("ns"))).when(r < 1_000_000, part(1000, 3, "µs")).when(r < 1_000_000_000, part(1_000_000, 6, "ms")).when(r < minute, seconds(r)).otherwise(long)
+
+
+def duration_scientific(d: Column, digits: int = 2) -> Column:
+    """Seconds as '1.23e-04'."""
+    return F.format_string(f"%.{digits}e", d / F.lit(1e9))
+
+
 def zoom_level(ns: Column, pixels: int) -> Column:
     return F.floor(F.log2(ns / F.lit(pixels))).cast("bigint")
 

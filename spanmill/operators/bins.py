@@ -99,6 +99,43 @@ def m4(points: DataFrame, keys: list[str], ts: str, value: str, start: int, widt
     return agg.select(*keys, "bin", F.inline(F.array_distinct(four)))
 
 
+def m4_range(points: DataFrame, keys: list[str], ts: str, value: str, start: int, ns_per_bin: float, n_bins: int) -> DataFrame:
+    """As `m4`, for a range of n_bins bins whose width need not be whole.
+
+    Bin x ends before round((x + 1) * ns_per_bin + start). The first point
+    after the range comes too, as bin n_bins, so that a line leads to it.
+    """
+    rows = points.where((F.col(ts) >= start) & F.col(value).isNotNull()).select(*keys, F.col(ts).alias("ts"), F.col(value).alias("value"))
+    x = F.floor((F.col("ts") - start) / F.lit(ns_per_bin)).cast("bigint")
+    at = F.when((F.col("_x") > 0) & (F.col("ts") < F.round(F.col("_x") * ns_per_bin + start)), F.col("_x") - 1).when(F.col("ts") < F.round((F.col("_x") + 1) * ns_per_bin + start), F.col("_x")).otherwise(F.col("_x") + 1)
+    rows = rows.withColumn("_x", x).withColumn("bin", F.least(at, F.lit(n_bins))).drop("_x")
+    agg = rows.groupBy(*keys, "bin").agg(
+        F.min(F.struct("ts", "value")).alias("a"), F.max(F.struct("ts", "value")).alias("d"),
+        F.min(F.struct("value", "ts")).alias("lo"), F.max(F.struct("value", (-F.col("ts")).alias("ts"))).alias("hi"),
+    )
+    four = F.array("a", "d", F.struct(F.col("lo.ts").alias("ts"), F.col("lo.value").alias("value")), F.struct((-F.col("hi.ts")).alias("ts"), F.col("hi.value").alias("value")))
+    return agg.select(*keys, "bin", F.inline(F.when(F.col("bin") < n_bins, F.array_distinct(four)).otherwise(F.array("a"))))
+
+
+def point_strip(points: DataFrame, keys: list[str], min_width: int, tiny_only: bool = False) -> DataFrame:
+    """Points and short spans merged as by `merge_tiny`, each at least min_width wide around its middle.
+
+    With tiny_only those stay that stand for several or are below min_width.
+    """
+    t = merge_tiny(points, keys, min_width)
+    narrow, middle = F.expr(f"end_ns - start_ns < {min_width}"), F.expr("start_ns + (end_ns - start_ns) div 2")
+    if tiny_only:
+        t = t.where((F.col("n") > 1) | narrow)
+    return t.select(*keys, F.when(narrow, middle - min_width // 2).otherwise(F.col("start_ns")).alias("start_ns"), F.when(narrow, middle + min_width // 2).otherwise(F.col("end_ns")).alias("end_ns"), "n")
+
+
+def with_background(mix: DataFrame, keys: list[str]) -> DataFrame:
+    """State mixes of which no more than a whole is taken; what is left of a whole is '(background)'."""
+    total = mix.groupBy(*keys).agg(F.sum("fraction").alias("_t"))
+    scaled = mix.join(total, keys).select(*keys, "state", (F.col("fraction") / F.greatest(F.lit(1.0), F.col("_t"))).alias("fraction"))
+    return scaled.unionByName(total.where("_t < 1").select(*keys, F.lit("(background)").alias("state"), (1 - F.col("_t")).alias("fraction")))
+
+
 def merge_tiny(spans: DataFrame, keys: list[str], min_width: int) -> DataFrame:
     """Neighbouring short spans as one: (keys, start_ns, end_ns, n).
 

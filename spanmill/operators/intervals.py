@@ -88,23 +88,31 @@ def stack_entries(events: DataFrame, stacks: DataFrame) -> DataFrame:
 
 
 def processor_spans(events: DataFrame) -> DataFrame:
-    """Processor spans (p, start_ns, end_ns, start_event, state) from transitions that name a processor.
-
-    Running opens 'proc running', a wait or syscall 'proc waiting for goroutine
-    to unblock', the end of a goroutine 'proc running without goroutine'; a
-    goroutine that becomes runnable does not cut. The last one ends with the trace.
+    """Processor spans (p, start_ns, end_ns, start_event, state).
+
+    Of a processor's own transitions, Running opens 'proc running without
+    goroutine' (from Undetermined: since the start of the trace) and Idle only
+    closes. Of transitions of goroutines that name a processor, Running opens
+    'proc running', a wait or syscall 'proc waiting for goroutine to unblock',
+    the end of a goroutine 'proc running without goroutine'; one that becomes
+    runnable does not cut. The last span ends with the trace.
     """
     state = (
         F.when(F.col("to_state") == "Running", "proc running")
         .when(F.col("to_state").isin("Waiting", "Syscall"), "proc waiting for goroutine to unblock")
         .when(F.col("to_state") == "NotExist", "proc running without goroutine")
     )
-    cuts = goroutine_transitions(events).where("p is not null").withColumn("state", state).where("state is not null")
-    paired = balanced_next(cuts, ["p"], ["event_id"], ["ts"], Scratch(events.sparkSession, "procs"), extra=["state"])
-    trace_end = trace_extent(events).select("trace_end").scalar()
-    return paired.select(
-        "p", F.col("ts").alias("start_ns"), F.coalesce(F.col("next_ts"), trace_end).alias("end_ns"), F.col("event_id").alias("start_event"), "state"
-    )
+    cuts = goroutine_transitions(events).where("p is not null").select("p", "event_id", "ts", state.alias("state"), F.lit(False).alias("since_start")).where("state is not null")
+    own = events.where("kind = 'StateTransition' and trans.res_kind = 'Proc' and not (trans.from_state <=> trans.to_state) and trans.to_state in ('Running', 'Idle')")
+    own = own.select(
+        F.col("trans.res_id").alias("p"), "event_id", "ts", F.when(F.col("trans.to_state") == "Running", "proc running without goroutine").otherwise("idle").alias("state"),
+        F.coalesce(F.col("trans.from_state") == "Undetermined", F.lit(False)).alias("since_start"),
+    )
+    paired = balanced_next(cuts.unionByName(own), ["p"], ["event_id"], ["ts"], Scratch(events.sparkSession, "procs"), extra=["state", "since_start"]).where("state <> 'idle'")
+    extent = trace_extent(events)
+    paired = paired.select("*", extent.select("trace_start").scalar().alias("_t0"), extent.select("trace_end").scalar().alias("_t1"))
+    start = F.when(F.col("since_start"), F.col("_t0")).otherwise(F.col("ts"))
+    return paired.select("p", start.alias("start_ns"), F.coalesce("next_ts", "_t1").alias("end_ns"), F.col("event_id").alias("start_event"), "state")
 
 
 def attached_events(events: DataFrame) -> DataFrame:

@@ -97,6 +97,15 @@ def flame_metrics(tree: DataFrame) -> DataFrame:
     return out.select("path", "depth", "duration", (F.col("duration") - F.coalesce("below", F.lit(0))).alias("self"), F.coalesce("n_children", F.lit(0)).alias("n_children"), F.try_divide(F.col("duration").cast("double") * 100, "parent_duration").alias("pct_parent"))
 
 
+def flame_shares(tree: DataFrame) -> DataFrame:
+    """Adds pct_top, the share of a path in its top root, and pct_visible, that in all roots together."""
+    tops = tree.where("depth = 1").select(F.col("path")[0].alias("_top"), F.col("duration").alias("_t"))
+    every = tree.where("depth = 1").agg(F.sum("duration")).scalar()
+    share = lambda whole: F.try_divide(F.col("duration").cast("double") * 100, whole)
+    out = tree.join(tops, F.col("path")[0] == F.col("_top")).select("*", every.alias("_all"))
+    return out.select("path", "depth", "duration", share(F.col("_t")).alias("pct_top"), share(F.col("_all")).alias("pct_visible"))
+
+
 def stack_text(funcs: Column, limit: int) -> Column:
     """Frames in lines; the middle of a stack longer than `limit` is hidden."""
     limit = max(limit, 2)

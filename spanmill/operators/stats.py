@@ -82,7 +82,7 @@ def heat(busy: DataFrame, y_size: int) -> DataFrame:
     return busy.groupBy(F.col("bucket").alias("x"), band.alias("y")).agg(F.count("*").alias("n"))
 
 
-def heat_saturation(cells: DataFrame, total_cells: int) -> DataFrame:
+def heat_saturation(cells: DataFrame, total_cells: int | Column) -> DataFrame:
     """Cells with linear and ranked saturation (0-255; at least 1 where anything is).
 
     Ranks are over distinct counts, of which there are at most as many as
@@ -92,6 +92,32 @@ def heat_saturation(cells: DataFrame, total_cells: int) -> DataFrame:
     # one task, but of at most as many rows as there are processors
     rank = distinct.select("n", F.dense_rank().over(Window.orderBy("n")).alias("r"))
     k, top = distinct.agg(F.count("*")).scalar(), distinct.agg(F.max("n")).scalar()
-    e = cells.agg((F.lit(total_cells) > F.count("*")).cast("bigint")).scalar()
-    out = cells.join(rank, "n").select("*", k.alias("k"), top.alias("top"), e.alias("e"))
-    return out.select("x", "y", "n", F.greatest(F.lit(1), F.expr("255 * n div top")).cast("bigint").alias("linear"), F.greatest(F.lit(1), F.expr("255 * (r - 1 + e) div (k + e)")).cast("bigint").alias("ranked"))
+    grid = total_cells if isinstance(total_cells, Column) else F.lit(total_cells)
+    count = cells.agg(F.count("*")).scalar()
+    out = cells.join(rank, "n").select("*", k.alias("k"), top.alias("top"), (grid > count).cast("bigint").alias("e"))
+    return out.select("x", "y", "n", F.greatest(F.lit(1), F.expr("255 * n div top")).cast("bigint").alias("linear"), F.greatest(F.lit(1), F.expr("255 * (r + e) div (k + e)")).cast("bigint").alias("ranked"))
+
+
+def with_bounds(cells: DataFrame, width: int, y_size: int) -> DataFrame:
+    """Heat cells with the bounds of their bucket and band, [start, end); the last band takes its end too."""
+    return cells.withColumns({"x_start": F.col("x") * width, "x_end": (F.col("x") + 1) * width, "y_start": F.col("y") * y_size, "y_end": (F.col("y") + 1) * y_size})
+
+
+def in_range(value: Column, lo: int, hi: int) -> Column:
+    """Whether a value lies in a range picked in a histogram: both ends included, hi 0 is open."""
+    return (value >= lo) & (value <= hi) if hi else value >= lo
+
+
+def six_decimals(x: Column) -> Column:
+    """A number of 0 or more with six decimals, from its exact value (Java's own format fills up with zeros)."""
+    whole = F.floor(x).cast("bigint")
+    part = F.bround((x - whole) * 1e6).cast("bigint")
+    return F.format_string("%d.%06d", whole + (part >= 1_000_000).cast("bigint"), F.pmod(part, F.lit(1_000_000)))
+
+
+def statistics_rows(statistics: DataFrame, state_dim: DataFrame) -> DataFrame:
+    """Rows of the statistics file: every named state in its order, zeros where nothing was seen, floats with six decimals."""
+    j = state_dim.join(statistics, F.col("name") == F.col("state"), "left").orderBy("code")
+    z = lambda c, a: F.coalesce(c, F.lit(0)).alias(a)
+    f = lambda c, a: six_decimals(F.coalesce(c, F.lit(0.0)).cast("double")).alias(a)
+    return j.select(F.col("name_cap").alias("State"), z("cnt", "Count"), z("min_ns", "Min"), z("max_ns", "Max"), z("total_ns", "Total"), f("average_ns", "Average"), f("median_ns", "Median"))

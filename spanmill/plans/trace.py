@@ -198,18 +198,6 @@ def task_table(spark, sf_dir):
     )
 
 
-@query("SELECT o_orderkey AS task_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
-def stub_tasks(spark, sf_dir):
-    o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    return o.join(i, o.o_orderkey == i.l_orderkey, "left_anti").select(F.col("o_orderkey").alias("task_id"))
-
-
-@query(f"WITH {_LOG} SELECT p, count(*) AS n, count(DISTINCT g) AS goroutines FROM lg WHERE event_id % 7 = 0 GROUP BY p")
-def cpu_samples(spark, sf_dir):
-    """Samples (every seventh event stands for one) by processor."""
-    return tables.log(spark, sf_dir).where("event_id % 7 = 0").groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("g").alias("goroutines"))
-
-
 @query("SELECT metric_name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT DISTINCT series_id, metric_name, ts, reading FROM metrics) GROUP BY 1")
 def metric_series(spark, sf_dir):
     m = table(spark, sf_dir, "metrics").select("series_id", "metric_name", "ts", "reading").distinct()
@@ -338,14 +326,6 @@ def heatmap(spark, sf_dir):
     return stats.heat(_busy(spark, sf_dir), 10)
 
 
-@query(
-    f"""WITH {_HEAT}, r AS (SELECT n, dense_rank() OVER (ORDER BY n) AS r FROM (SELECT DISTINCT n FROM heat)), f AS (SELECT count(*) AS k, max(n) AS top FROM r)
-SELECT x, y, heat.n, CAST(greatest(1, 255 * heat.n // top) AS BIGINT) AS linear, CAST(greatest(1, 255 * (r - 1 + 1) // (k + 1)) AS BIGINT) AS ranked FROM heat JOIN r USING (n), f"""
-)
-def heatmap_ranked(spark, sf_dir):
-    return stats.heat_saturation(stats.heat(_busy(spark, sf_dir), 10), 1 << 40)
-
-
 @query(
     f"""WITH {_SPANS}, e AS (SELECT state, start_ns, end_ns, unnest(range(start_ns // {HOUR}, (end_ns - 1) // {HOUR} + 1)) AS bucket FROM s WHERE container = 'P' AND end_ns > start_ns)
 SELECT bucket, state, round(sum(least(end_ns, (bucket + 1) * {HOUR}) - greatest(start_ns, bucket * {HOUR})) / {HOUR}.0, 9) AS fraction FROM e GROUP BY 1, 2"""
@@ -595,13 +575,6 @@ def frames(spark, sf_dir):
     return f.select("func", text.package_of(F.col("func")).alias("package"), text.short_function(F.col("func")).alias("short"))
 
 
-@query("SELECT prefix, count(*) AS n FROM (SELECT split_part(func, '/', 1) AS prefix FROM (SELECT unnest(funcs) AS func FROM stacks) WHERE contains(func, '/')) GROUP BY 1 ORDER BY n DESC, prefix LIMIT 1")
-def gopath_vote(spark, sf_dir):
-    """The most frequent path prefix of the functions."""
-    f = table(spark, sf_dir, "stacks").select(F.explode("funcs").alias("func")).where("contains(func, '/')")
-    return f.groupBy(F.split_part("func", F.lit("/"), F.lit(1)).alias("prefix")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prefix").limit(1)
-
-
 # ------------------------------------------------------------ joins
 @query(
     f"""WITH {_SPANS} SELECT s.container_id, s.span_id, e.event_id FROM s JOIN trace_events e ON e.g = s.container_id AND e.ts >= s.start_ns AND e.ts < s.end_ns WHERE s.container = 'G' AND s.track = 'region'"""
@@ -706,19 +679,6 @@ def events_sorted(spark, sf_dir):
     return table(spark, sf_dir, "trace_events").select("event_id", "ts", "kind", F.coalesce("g", F.lit(-1)).alias("g")).orderBy("ts", "event_id")
 
 
-@query(
-    f"""WITH {_NAMED}, st AS ({_stat_sql('state', 'n')}) SELECT code, name_cap AS "State", coalesce(cnt, 0) AS "Count", coalesce(min_ns, 0) AS "Min", coalesce(max_ns, 0) AS "Max", coalesce(total_ns, 0) AS "Total",
-  printf('%.6f', round(coalesce(average_ns, 0), 0)) AS "Average", printf('%.6f', coalesce(median_ns, 0)) AS "Median" FROM state_dim LEFT JOIN st ON st.state = name"""
-)
-def csv_stats(spark, sf_dir):
-    """Rows of the statistics file: every named state in its order, with zeros where nothing was seen."""
-    st = _rounded(stats.compute_statistics(_named(spark, sf_dir, "start_ns", "end_ns"), ["state"]))
-    j = table(spark, sf_dir, "state_dim").join(st, F.col("name") == F.col("state"), "left")
-    z = lambda c, a: F.coalesce(c, F.lit(0)).alias(a)
-    f = lambda c, a: F.format_string("%.6f", F.round(F.coalesce(c, F.lit(0.0)), 0 if a == "Average" else 1)).alias(a)
-    return j.select("code", F.col("name_cap").alias("State"), z("cnt", "Count"), z("min_ns", "Min"), z("max_ns", "Max"), z("total_ns", "Total"), f("average_ns", "Average"), f("median_ns", "Median")).orderBy("code")
-
-
 @query(f"WITH {_GOR} SELECT g_id, func FROM gor WHERE contains(lower(coalesce(func, '')), 'pump') AND contains(lower(coalesce(func, '')), 'loop')")
 def search(spark, sf_dir):
     g = tables.goroutines(spark, sf_dir)
@@ -773,13 +733,6 @@ def proc_summary(spark, sf_dir):
     return one.select("container_id", "user_ns", "gc_ns", (total - F.col("_d")).alias("idle_ns"))
 
 
-@query(f"WITH {_SPANS} SELECT track, min(start_ns) AS lo, max(coalesce(end_ns, start_ns)) AS hi FROM s WHERE container_id IN (1, 3, 5) AND container = 'G' GROUP BY 1")
-def zoom_to_fit(spark, sf_dir):
-    """Extent of the tracks in view: those of three goroutines."""
-    s = tables.spans(spark, sf_dir, "container", "container_id", "track", "start_ns", "end_ns").where("container = 'G' and container_id in (1, 3, 5)")
-    return s.groupBy("track").agg(F.min("start_ns").alias("lo"), F.max(F.coalesce("end_ns", "start_ns")).alias("hi"))
-
-
 @query(
     f"""WITH {_LOG}, x AS (SELECT g, ts // 86400000000000 AS day, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, min(kind) AS a, max(kind) AS b FROM lg GROUP BY 1, 2)
 SELECT g, day, n, first_ts - 1 AS lo, last_ts + 1 AS hi, CASE WHEN a = b THEN a ELSE 'events' END AS label FROM x"""
@@ -791,17 +744,6 @@ def event_groups(spark, sf_dir):
     return x.select("g", "day", "n", (F.col("a") - 1).alias("lo"), (F.col("b") + 1).alias("hi"), F.when(F.col("k1") == F.col("k2"), F.col("k1")).otherwise("events").alias("label"))
 
 
-@query(
-    f"""WITH {_LOG}, p AS (SELECT g, event_id, ts, lag(ts) OVER (PARTITION BY g ORDER BY ts, event_id) AS pt FROM lg WHERE event_id % 7 = 0),
-r AS (SELECT *, sum(CASE WHEN pt IS NULL OR ts - pt >= 60000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY ts, event_id) AS run FROM p)
-SELECT g, min(ts) AS start_ns, max(ts) AS end_ns, count(*) AS n FROM r GROUP BY g, run"""
-)
-def sample_track(spark, sf_dir):
-    """Samples of each goroutine as points, merged where they are less than a minute apart."""
-    p = tables.log(spark, sf_dir).where("event_id % 7 = 0").select("g", F.col("event_id").alias("span_id"), F.col("ts").alias("start_ns"), F.col("ts").alias("end_ns"))
-    return bins.merge_tiny(p, ["g"], 60_000_000_000)
-
-
 @query(
     """SELECT l_orderkey AS task_id, l_linenumber AS region, coalesce(o_orderpriority, 'task ' || l_orderkey) AS task_name, c_name AS created_by FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey"""
 )
@@ -852,13 +794,6 @@ def package_classes(spark, sf_dir):
     return f.groupBy(text.package_class(F.col("func")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_SPANS}, {_GOR} SELECT gor.g_id FROM gor WHERE g_id NOT IN (SELECT container_id FROM s WHERE container = 'G')")
-def without_spans(spark, sf_dir):
-    """Goroutines that no span names."""
-    g, s = tables.goroutines(spark, sf_dir), tables.spans(spark, sf_dir, "container", "container_id").where("container = 'G'")
-    return g.join(s, g.g_id == s.container_id, "left_anti").select("g_id")
-
-
 @query(f"WITH {_GOR}, x AS (SELECT g_id, eff_end - eff_start AS d FROM gor) SELECT g_id, d AS duration_ns FROM x WHERE d >= 1000000 AND d <= 100000000000000")
 def goroutines_in_range(spark, sf_dir):
     """Goroutines whose duration lies in a range picked in a histogram, both ends included."""

@@ -15,6 +15,12 @@ EVENT_SCHEMA = (
     "trans struct<res_kind:string,res_id:bigint,from_state:string,to_state:string,reason:string,stack_id:bigint>"
 )
 
+#: The whole contract: an event log with all kinds of records.
+RECORD_SCHEMA = (
+    EVENT_SCHEMA + ", range struct<name:string,scope_kind:string,scope_id:bigint,attrs:map<string,bigint>>, task struct<id:bigint,parent:bigint,type:string>, "
+    "log struct<task:bigint,category:string,message:string>, metric struct<name:string,value:bigint>"
+)
+
 
 def read_events(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """An event log from Parquet, ORC or JSON; the schema is given, not inferred."""

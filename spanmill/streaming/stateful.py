@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.coverage import FOREVER, IntervalMap, gaps
+from ..operators.intervals import gauges
 from ..session import Scratch
 
 
@@ -122,6 +123,36 @@ def streamed_gaps(spark: SparkSession, path: str, files_per_batch: int = 1000, w
     return gaps(periods_of(spark.read.schema(changes.schema).parquet(f"{scratch.base}/changes")))
 
 
+def stream_gauges(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """(metric_name, ts, value): `intervals.gauges` over files of events that come in order of time.
+
+    Each batch is summed by the balanced sweep; only the last value of each of
+    the three gauges is carried on, in a table of its own for each batch, so a
+    batch that is done again gives the same. A time that two batches share
+    counts with its last value.
+    """
+    scratch = Scratch(spark, "gauges")
+    schema = "metric_name string, ts bigint, value bigint"
+
+    def add(batch: DataFrame, n: int) -> None:
+        now = gauges(batch)
+        if n:
+            before = spark.read.schema("metric_name string, value bigint").parquet(f"{scratch.base}/last/{n - 1}")
+            carried = before.select("metric_name", F.col("value").alias("base"))
+            now = now.join(carried, "metric_name", "left").select("metric_name", "ts", (F.col("value") + F.coalesce("base", F.lit(0))).alias("value"))
+        now.write.mode("overwrite").parquet(f"{scratch.base}/out/batch={n}")
+        last = spark.read.schema(schema).parquet(f"{scratch.base}/out/batch={n}").groupBy("metric_name").agg(F.max_by("value", "ts").alias("value"))
+        if n:
+            last = last.unionByName(before.join(last, "metric_name", "left_anti"))
+        last.write.mode("overwrite").parquet(f"{scratch.base}/last/{n}")
+
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    q = events.writeStream.foreachBatch(add).option("checkpointLocation", f"{scratch.base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    every = spark.read.schema(schema + ", batch int").parquet(f"{scratch.base}/out")
+    return every.groupBy("metric_name", "ts").agg(F.max_by("value", "batch").alias("value"))
+
+
 def busy_windows(events: DataFrame, key: str, width: str = "100 milliseconds", late: str = "10 minutes") -> DataFrame:
     """Events per key and tumbling window, appended once the watermark has passed it."""
     return event_time(events).withWatermark("event_time", late).groupBy(F.window("event_time", width), key).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")

@@ -1,9 +1,9 @@
 import pytest
 from oracle import check
 
-from spanmill.plans import problems, trace
+from spanmill.plans import problems, records, trace
 
-CASES = {name: (f, m.ORACLE.get(name)) for m in (problems, trace) for name, f in m.QUERIES.items()}
+CASES = {name: (f, m.ORACLE.get(name)) for m in (problems, trace, records) for name, f in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in CASES.items() if sql])
