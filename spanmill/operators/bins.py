@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .sweep import balanced_next, balanced_prefix, balanced_prev
+from .sweep import balanced_islands, balanced_next, balanced_prefix, balanced_prev
 
 #: Bins that one row of a long span stands for before it is spread over tasks.
 BLOCK = 1024
@@ -66,21 +68,55 @@ def histogram(values: DataFrame, value: str, bins: int = 100, start: int = 0, en
     return counted.select("bin", lo.alias("lo"), hi.cast("double").alias("hi"), "n")
 
 
-def outlier_cutoff(values: DataFrame, value: str, row_id: str) -> DataFrame:
+#: Share of the rows to each side of an approximate quartile in which the exact one is looked for first.
+BRACKET = 0.002
+
+
+def exact_ranks(rows: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
+    """Values at some ranks (from 1) among n values `v` that are read more than once.
+
+    Each rank is bracketed by approximate percentiles of one pass; a second
+    counts what lies below and puts the bracket's values in order, each value
+    once with its count. A bracket that turns out not to hold its rank is
+    widened, so the result is exact; what is sorted is a small share.
+    """
+    found, margin = {}, BRACKET
+    while len(found) < len(ranks):
+        left = [r for r in ranks if r not in found]
+        ps = [p for r in left for p in (max(0.0, r / n - margin), min(1.0, r / n + margin))]
+        edges = rows.agg(F.percentile_approx("v", ps, 10_000)).first()[0]
+        pairs = list(zip(left, edges[::2], edges[1::2]))
+        below = rows.agg(*[F.count(F.when(F.col("v") < lo, 1)) for _, lo, _ in pairs]).first()
+        inside = rows.where(reduce(lambda a, b: a | b, [F.col("v").between(lo, hi) for _, lo, hi in pairs]))
+        counted = inside.groupBy("v").agg(F.count("*").cast("bigint").alias("_n"))
+        scratch = Scratch(rows.sparkSession, "ranks")
+        run = scratch.put(balanced_prefix(scratch.put(counted), [], ["v"], "_n", scratch))
+        # the running sum counts lower brackets too
+        starts = run.agg(*[F.coalesce(F.max(F.when(F.col("v") < lo, F.col("run"))), F.lit(0)) for _, lo, _ in pairs]).first()
+        reached = [F.col("v").between(lo, hi) & (F.col("run") >= start + r - less) for (r, lo, hi), start, less in zip(pairs, starts, below)]
+        got = run.agg(*[F.min(F.when(x, F.col("v"))) for x in reached]).first()
+        found |= {r: float(v) for r, v, less in zip(left, got, below) if v is not None and less < r}
+        margin = min(1.0, margin * 8)
+    return found
+
+
+def outlier_cutoff(values: DataFrame, value: str, row_id: str = "") -> DataFrame:
     """One row: Q3 + 2.5 IQR by quartiles of halves that leave out an odd median; null where all values reach it.
 
-    Only the ranks that are needed are looked up, in a balanced global ranking.
+    Only the four ranks that are needed are looked up (see `exact_ranks`).
     """
-    rows = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), row_id).withColumn("_one", F.lit(1).cast("bigint"))
-    rows = Scratch(values.sparkSession, "outliers").put(rows)
-    ranked = balanced_prefix(rows, [], ["v", row_id], "_one", Scratch(values.sparkSession, "quartiles"))
-    # ranks are from 1; a half has n div 2 values
-    r = ranked.select("*", rows.agg(F.count("*")).scalar().alias("n"), rows.agg(F.min("v")).scalar().alias("least")).withColumn("h", F.expr("n div 2"))
-    low = F.expr("run = (h + 1) div 2 or run = (h + 2) div 2")
-    high = F.expr("run = n - h + (h + 1) div 2 or run = n - h + (h + 2) div 2")
-    q = r.where(low | high).agg(F.avg(F.when(low, F.col("v"))).alias("q1"), F.avg(F.when(high, F.col("v"))).alias("q3"), F.min("least").alias("least"))
-    cut = F.col("q3") + 2.5 * (F.col("q3") - F.col("q1"))
-    return q.select(F.when(F.col("least") < cut, cut).alias("cutoff"))
+    spark = values.sparkSession
+    rows = Scratch(spark, "outliers").put(values.where(F.col(value).isNotNull()).select(F.col(value).alias("v")))
+    n, least = rows.agg(F.count("*"), F.min("v")).first()
+    cutoff = None
+    if n:
+        h = n // 2
+        halves = [[(h + 1) // 2, (h + 2) // 2], [n - h + (h + 1) // 2, n - h + (h + 2) // 2]]
+        halves = [[r for r in ranks if 1 <= r <= n] for ranks in halves]
+        at = exact_ranks(rows, sorted({r for ranks in halves for r in ranks}), n)
+        q1, q3 = (sum(at[r] for r in ranks) / len(ranks) for ranks in halves)
+        cutoff = q3 + 2.5 * (q3 - q1)
+    return spark.range(1).select(F.lit(cutoff if n and least < cutoff else None).cast("double").alias("cutoff"))
 
 
 def m4(points: DataFrame, keys: list[str], ts: str, value: str, start: int, width: int) -> DataFrame:
@@ -143,10 +179,8 @@ def merge_tiny(spans: DataFrame, keys: list[str], min_width: int) -> DataFrame:
     or the gap between them is. Spans must not overlap; rows distinct.
     """
     rows = spans.where("end_ns >= start_ns").select(*keys, "span_id", "start_ns", "end_ns")
-    prev = balanced_prev(rows, keys, ["start_ns", "span_id"], ["start_ns", "end_ns"], Scratch(spans.sparkSession, "tiny"))
-    new = F.expr(f"prev_end_ns is null or end_ns - start_ns >= {min_width} or start_ns - prev_end_ns >= {min_width} or prev_end_ns - prev_start_ns >= {min_width}")
-    run = balanced_prefix(prev.select(*rows.columns, new.cast("bigint").alias("_new")), keys, ["start_ns", "span_id"], "_new", Scratch(spans.sparkSession, "tiny-runs"))
-    return run.groupBy(*keys, "run").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.count("*").alias("n")).drop("run")
+    apart = lambda ps, pe, s, e: (e - s >= min_width) | (s - pe >= min_width) | (pe - ps >= min_width)
+    return balanced_islands(rows, keys, ["start_ns", "span_id"], "start_ns", "end_ns", [], apart, Scratch(spans.sparkSession, "tiny"))
 
 
 def pyramid(spans: DataFrame, keys: list[str], base: int, levels: int) -> DataFrame:
@@ -164,14 +198,8 @@ def pyramid(spans: DataFrame, keys: list[str], base: int, levels: int) -> DataFr
 
 def contiguous_runs(rows: DataFrame, keys: list[str], order: list[str], start: str, end: str, same: list[str]) -> DataFrame:
     """Stack-track merge: consecutive rows that touch and agree in `same` are one (gaps and islands)."""
-    cols = list(dict.fromkeys([*keys, *order, start, end, *same]))
-    prev = balanced_prev(rows.select(*cols), keys, order, [end, *same], Scratch(rows.sparkSession, "islands"))
-    joins = F.col(f"prev_{end}") == F.col(start)
-    for c in same:
-        joins &= F.col(f"prev_{c}").eqNullSafe(F.col(c))
-    marked = prev.select(*cols, F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1).cast("bigint").alias("_new"))
-    run = balanced_prefix(marked, keys, order, "_new", Scratch(rows.sparkSession, "island-runs"))
-    return run.groupBy(*keys, "run").agg(*[F.min(c).alias(c) for c in same], F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("run")
+    touch = lambda ps, pe, s, e: pe != s
+    return balanced_islands(rows, keys, order, start, end, same, touch, Scratch(rows.sparkSession, "islands"))
 
 
 def decimate_area_by_neighbours(points: DataFrame, keys: list[str], ts: str, value: str, min_area: float) -> DataFrame:

@@ -10,6 +10,7 @@ afterwards.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 PID = "_pid"
 
+#: Nodes of a plan that are not worth running twice.
+_COSTLY = re.compile(r"^\W*(?:Aggregate|Join LeftAnti|Join FullOuter|Window|MapInArrow|PythonMapInArrow|Repartition|Sort|Distinct)\b", re.M)
+
 
 def range_sweep(
     df: DataFrame,
@@ -31,8 +37,12 @@ def range_sweep(
     """Run `sweep(batches, task number)` over rows sorted by keys and order.
 
     Task numbers increase with (keys, order). Rows with equal keys and order
-    always share a task.
+    always share a task. Split points come from a pass of their own over the
+    rows: what needs an exchange, or Python, is written first, so that it runs
+    once; scans and what is cheap on top of them are read twice.
     """
+    if _COSTLY.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        df = Scratch(df.sparkSession, "sweep-input").put(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -223,3 +233,89 @@ def balanced_prefix(df: DataFrame, keys: list[str], order: list[str], value: str
     )
     out = rest.unionByName(heads)
     return out if keys else out.drop("_all")
+
+
+def _alike(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """Where two columns agree, two nulls too."""
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    return same.to_numpy(zero_copy_only=False) if isinstance(same, pa.Array) else same.combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def balanced_islands(df: DataFrame, keys: list[str], order: list[str], start: str, end: str, same: list[str], fresh: Callable, scratch) -> DataFrame:
+    """Consecutive rows of a key put together: (keys, same, start, end, n), the earliest start and latest end.
+
+    A row begins an island where it differs from the row before in one of
+    `same`, or where fresh(start before, end before, start, end) is true;
+    `fresh` works on arrays and on Columns. One sweep, which gives out islands
+    instead of rows; only the first and last island of a task, two rows, are
+    joined with those of its neighbours afterwards.
+    """
+    cols = list(dict.fromkeys([*keys, *order, start, end, *same]))
+    rows = df.select(*cols)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kept = list(dict.fromkeys([*keys, *same]))
+    numbers = ["_s", "_e", "_s0", "_e0", "_s1", "_e1", "_n"]
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"{c} bigint" for c in numbers] + [f"{PID} int", "_edge int"])
+
+    def sweep(batches: Iterator[pa.RecordBatch], pid: int) -> Iterator[pa.RecordBatch]:
+        held = carry = None
+        count = 0
+
+        def out(names: pa.Table, v: dict, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for c in numbers:
+                names = names.append_column(c, pa.array(v[c], pa.int64()))
+            names = names.append_column(PID, pa.array(np.full(len(names), pid, dtype=np.int32))).append_column("_edge", pa.array(edge.astype(np.int32)))
+            yield from names.combine_chunks().to_batches()
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            t = pa.Table.from_batches([batch])
+            s, e = (column(batch, c).astype(np.int64) for c in (start, end))
+            new = np.ones(len(t), dtype=bool)
+            both = pa.concat_tables([carry, t]) if carry is not None else t
+            n = len(both) - 1
+            if n:
+                ps, pe = (both[c].to_numpy().astype(np.int64)[:n] for c in (start, end))
+                at = len(t) - n
+                joined = np.ones(n, dtype=bool)
+                for c in kept:
+                    joined &= _alike(both[c].slice(0, n), both[c].slice(1, n))
+                new[at:] = ~joined | fresh(ps, pe, s[at:], e[at:])
+            carry = t.slice(len(t) - 1, 1)
+            cut = np.flatnonzero(new)
+            goes_on = not new[0]
+            if goes_on:
+                cut = np.append(0, cut)
+            last = np.append(cut[1:], len(t)) - 1
+            v = {"_s": np.minimum.reduceat(s, cut), "_e": np.maximum.reduceat(e, cut), "_s0": s[cut], "_e0": e[cut], "_s1": s[last], "_e1": e[last], "_n": last - cut + 1}
+            names = t.select(kept).take(pa.array(cut))
+            if held is not None:
+                if goes_on:
+                    h = held[1]
+                    v["_s"][0], v["_e"][0], v["_n"][0] = min(v["_s"][0], h["_s"]), max(v["_e"][0], h["_e"]), v["_n"][0] + h["_n"]
+                    v["_s0"][0], v["_e0"][0] = h["_s0"], h["_e0"]
+                else:
+                    names = pa.concat_tables([held[0], names])
+                    v = {c: np.append(held[1][c], x) for c, x in v.items()}
+            done = len(names) - 1
+            if done:
+                edge = np.zeros(done, dtype=np.int32)
+                edge[0] = count == 0
+                count += done
+                yield from out(names.slice(0, done), {c: x[:done] for c, x in v.items()}, edge)
+            held = names.slice(done, 1), {c: int(x[-1]) for c, x in v.items()}
+        if held is not None:
+            yield from out(held[0], {c: np.array([x]) for c, x in held[1].items()}, np.array([2]))
+
+    found = scratch.put(range_sweep(rows, keys, order, sweep, schema))
+    # Two rows a task at most.
+    w = Window.partitionBy(*keys).orderBy(PID, "_edge")
+    lag = lambda c: F.lag(c).over(w)
+    joins = lag("_s1").isNotNull() & ~fresh(lag("_s1"), lag("_e1"), F.col("_s0"), F.col("_e0"))
+    for c in same:
+        joins &= F.col(c).eqNullSafe(lag(c))
+    edge = found.where("_edge > 0").withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    edge = edge.groupBy(*keys, "_run").agg(*[F.first(c).alias(c) for c in same if c not in keys], F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("_n"))
+    every = found.where("_edge = 0").select(*kept, "_s", "_e", "_n").unionByName(edge.select(*kept, "_s", "_e", "_n"))
+    return every.select(*kept, F.col("_s").alias(start), F.col("_e").alias(end), F.col("_n").alias("n"))

@@ -142,3 +142,12 @@ def test_values_in_hidden_blocks(spark):
         assert x.slot.tolist() == t[hidden].tolist()
         error[s] = np.abs(x.value.to_numpy() - y[hidden]).mean() / np.abs(np.interp(t[hidden], t[~hidden], y[~hidden]) - y[hidden]).mean()
     assert error[1] < 0.25 and error[2] < 1.02
+
+
+def test_exact_ranks(spark):
+    rng = np.random.default_rng(4)
+    for v in (rng.integers(0, 10**9, 5000), rng.integers(0, 3, 4000), np.array([5]), np.repeat([1, 9], [999, 1])):
+        rows = spark.createDataFrame([(int(x),) for x in v], "v bigint").repartition(5)
+        ranks = sorted({1, max(1, len(v) // 4), max(1, len(v) // 4) + (len(v) > 1), len(v)})
+        assert bins.exact_ranks(rows, ranks, len(v)) == {r: float(np.sort(v)[r - 1]) for r in ranks}
+    assert bins.outlier_cutoff(spark.createDataFrame([], "v bigint"), "v").first()[0] is None
