@@ -281,7 +281,7 @@ def _of_line(line: str, rules: Rules, out: dict[tuple[str, bool], int]) -> None:
         for part in parts:
             out.setdefault((part, len(parts) == 1), 0)
         return
-    parts = _STOP.split(line)
+    parts = _STOP.split(line if slotted else m)
     found, quoted, before, quoting = [], 0, "", _QUOTES.search(line)
     for part in parts:
         slots, shown = False, part
@@ -290,7 +290,9 @@ def _of_line(line: str, rules: Rules, out: dict[tuple[str, bool], int]) -> None:
             if shown != part and rules.slot.search(part):
                 rest = rules.slot.sub(" ", part)
                 slots = not _CODEISH.search(rest) and not _QUOTED_OR_OWN.search(rest)
-        m = masked(shown)
+            m = masked(shown)
+        else:
+            m = part
         if m:
             may = maybe and may_be_notice(m)
             trust = ANYWHERE if slots else may and (rules.notice(m) or (shown != part and rules.notice(masked(part))))
