@@ -11,6 +11,7 @@ come from parallel list ranking with random splitters.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,11 +56,14 @@ def _climb(links: DataFrame, scratch: Scratch, with_paths: bool = False) -> tupl
         F.col("node").alias("low"),
         *([F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<bigint>")).alias("path")] if with_paths else []),
     )
-    now = scratch.put(start)
+    step = scratch.put(start)
+    finished: list[DataFrame] = []  # nodes stay in the table of the round that finished them
     before = (-1, -1, -1)
     while True:
-        open_ = now.where(F.col("up").isNotNull())
+        open_ = step.where(F.col("up").isNotNull())
+        # ids may be as large as a long: their sum is a decimal
         n, image, lows = open_.agg(F.count("*"), F.count_distinct("up"), F.sum(F.col("low").cast("decimal(20,0)"))).first()
+        now = reduce(DataFrame.unionByName, finished, step)
         # Nothing reached a root in this round: along a finite line of parents
         # every depth occurs, so all open nodes are endless. An image that no
         # longer shrinks is the cycles; minima that no longer change are theirs.
@@ -83,9 +87,8 @@ def _climb(links: DataFrame, scratch: Scratch, with_paths: bool = False) -> tupl
             F.least("low", "low2").alias("low"),
             *([F.concat("path", "path2").alias("path")] if with_paths else []),
         )
-        then = scratch.put(moved.unionByName(now.where(F.col("up").isNull())))
-        scratch.drop(now)
-        now = then
+        finished.append(step.where(F.col("up").isNull()).select(moved.columns))
+        step = scratch.put(moved)
     trees = now.where(F.col("up").isNull()).select("node", "root", F.col("steps").alias("depth"), *(["path"] if with_paths else []))
     if n == 0:
         return trees, None
@@ -154,7 +157,7 @@ def _rank_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["node", "side", "ahead", "balance", "tail"])
 
 
-def rank_lists(elements: DataFrame, scratch: Scratch) -> DataFrame:
+def rank_lists(elements: DataFrame, scratch: Scratch, local_rows: int = LOCAL_RANK_ROWS) -> DataFrame:
     """(node, side, ahead, balance, tail) of linked lists.
 
     Elements are (node, side, next_node, next_side, ahead, balance): `ahead` is
@@ -163,7 +166,7 @@ def rank_lists(elements: DataFrame, scratch: Scratch) -> DataFrame:
     this element to the end, both included, and `tail` the last element's node.
     """
     schema = "node bigint, side int, ahead bigint, balance bigint, tail bigint"
-    if elements.count() <= LOCAL_RANK_ROWS:
+    if elements.count() <= local_rows:
         return scratch.put(elements.coalesce(1).mapInArrow(_rank_locally, schema))
     is_split = lambda n, s: F.pmod(F.xxhash64(n, s), F.lit(SPLIT_EVERY)) == 0
     # Walk to the next splitter (or the end) from every element.
@@ -190,20 +193,21 @@ def rank_lists(elements: DataFrame, scratch: Scratch) -> DataFrame:
         then = scratch.put(moved.unionByName(now.where("stop")))
         scratch.drop(now)
         now = then
-    short = rank_lists(now.where("split").select("node", "side", "next_node", "next_side", "ahead", "balance"), scratch)
+    short = rank_lists(now.where("split").select("node", "side", "next_node", "next_side", "ahead", "balance"), scratch, local_rows)
     onward = short.select(F.col("node").alias("next_node"), F.col("side").alias("next_side"), F.col("ahead").alias("a2"), F.col("balance").alias("b2"), "tail")
     rest = now.where(~F.col("split")).join(onward, ["next_node", "next_side"])
     rest = rest.select("node", "side", (F.col("ahead") + F.col("a2")).alias("ahead"), (F.col("balance") + F.col("b2")).alias("balance"), "tail")
     return scratch.put(rest.unionByName(short))
 
 
-def hierarchy(df: DataFrame, node: str = "g_id", parent: str = "parent") -> DataFrame:
+def hierarchy(df: DataFrame, node: str = "g_id", parent: str = "parent", local_rows: int = LOCAL_RANK_ROWS) -> DataFrame:
     """Each node of the trees with root, depth, entry, exit and descendant count.
 
     Positions count within the node's tree, from 0 at its root: u is an
     ancestor of v, or v itself, if they have one root and
     entry(u) <= entry(v) < exit(u). Endless nodes (see `endless_nodes`) belong
-    to no tree and are left out.
+    to no tree and are left out. Lists of at most local_rows elements are
+    ranked in one task; the result is the same whatever it is.
     """
     scratch = Scratch(df.sparkSession, "hierarchy")
     links = scratch.put(parent_links(df, node, parent))
@@ -215,7 +219,7 @@ def hierarchy(df: DataFrame, node: str = "g_id", parent: str = "parent") -> Data
         F.when(F.col("next_node").isNull(), 0).otherwise(1).cast("bigint").alias("ahead"),
         F.when(F.col("side") == 0, 1).otherwise(-1).cast("bigint").alias("balance"),
     )
-    ranked = rank_lists(scratch.put(elements), scratch)
+    ranked = rank_lists(scratch.put(elements), scratch, local_rows)
     one = ranked.groupBy("node").agg(
         F.max(F.when(F.col("side") == 0, F.col("ahead"))).alias("d"),
         F.max(F.when(F.col("side") == 1, F.col("ahead"))).alias("u"),

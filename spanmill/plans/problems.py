@@ -38,6 +38,17 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.hierarchy(table(spark, sf_dir, "goroutines"))
 
 
+def p5_hierarchy_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p5_hierarchy with lists ranked in parallel however short they are."""
+    return hierarchy.hierarchy(table(spark, sf_dir, "goroutines"), local_rows=64)
+
+
+def p6_grid_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots of the grid that had readings: as they were."""
+    g = p6_grid(spark, sf_dir).where("not filled")
+    return g.select("series_id", "slot", F.round("value", 3).alias("value"), "n_readings")
+
+
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All descendants of every goroutine whose id is divisible by 50, the stated query set, among all."""
     t = hierarchy.hierarchy(table(spark, sf_dir, "goroutines"))
@@ -69,7 +80,7 @@ def p6_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("series_id", "slot", F.round("y", 3).alias("value"), F.col("n").alias("n_readings"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_periods, p2_streamed, p3_goroutine_summary, p5_found, p5_hierarchy, p5_descendants, p5_ancestors, p5_paths, p6_found, p6_grid, p6_observed)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_periods, p2_streamed, p3_goroutine_summary, p5_found, p5_hierarchy, p5_hierarchy_ranked, p5_descendants, p5_ancestors, p5_paths, p6_found, p6_grid, p6_grid_observed, p6_observed)}
 
 _COVER = """
 WITH s AS (
@@ -165,3 +176,5 @@ FROM (SELECT DISTINCT series_id, metric_name, ts, reading FROM metrics WHERE rea
 JOIN (SELECT DISTINCT series_id, step_ns FROM plot_series WHERE step_ns > 0) s USING (series_id) GROUP BY 1, 2""",
     "p6_found": "WITH " + _SLOTS + " SELECT series_id, unnest(range(slot + 1, n)) AS slot FROM nxt WHERE n > slot + 1",
 }
+ORACLE["p5_hierarchy_ranked"] = ORACLE["p5_hierarchy"]
+ORACLE["p6_grid_observed"] = ORACLE["p6_observed"]

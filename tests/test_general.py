@@ -27,8 +27,7 @@ def brute_tree(par):
     return ends, depth
 
 
-def test_hierarchy_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "LOCAL_RANK_ROWS", 40)  # so that lists are ranked over tasks
+def test_hierarchy_against_brute_force(spark):
     rng = np.random.default_rng(2)
     par = {i: (None if rng.random() < 0.05 else int(rng.integers(max(1, i - 4), i))) if i > 1 else None for i in range(1, 161)}
     par |= {500: 501, 501: 502, 502: 500, 503: 502, 504: 503, 600: 600}
@@ -37,18 +36,24 @@ def test_hierarchy_against_brute_force(spark, monkeypatch):
     ends, depth = brute_tree(par)
     assert {r[0]: r[1] for r in hierarchy.endless_nodes(df).collect()} == ends
     assert {r.g_id: r.path for r in hierarchy.paths(df).collect()} == depth
-    h = {r.g_id: r for r in hierarchy.hierarchy(df).collect()}
+    h = {r.g_id: r for r in hierarchy.hierarchy(df, local_rows=40).collect()}
     assert set(h) == set(depth)
     for x, p in depth.items():
         assert (h[x].root, h[x].depth) == (p[0], len(p) - 1)
         below = {y for y, q in depth.items() if x in q[:-1]}
         assert h[x].n_descendants == len(below)
         assert {y for y, r in h.items() if r.root == h[x].root and h[x].entry < r.entry < h[x].exit} == below
+    tree = hierarchy.hierarchy(df)
+    some = spark.createDataFrame([(x,) for x in (*list(depth)[::3], 77777, None)], "g_id bigint")
+    want = {(x, y, len(depth[y]) - len(depth[x])) for x in list(depth)[::3] for y, q in depth.items() if x in q[:-1]}
+    assert sorted(tuple(r) for r in hierarchy.descendants(tree, some).collect()) == sorted(want)
+    want = {(y, x, len(depth[y]) - len(depth[x])) for y in list(depth)[::3] for x in depth[y][:-1]}
+    assert sorted(tuple(r) for r in hierarchy.ancestors(tree, some).collect()) == sorted(want)
 
 
 def test_hierarchy_of_nothing(spark):
     df = spark.createDataFrame([], "g_id bigint, parent bigint")
-    assert hierarchy.endless_nodes(df).count() == 0 and hierarchy.hierarchy(df).count() == 0 and hierarchy.paths(df).count() == 0
+    assert hierarchy.endless_nodes(df).count() == 0 and hierarchy.hierarchy(df, local_rows=40).count() == 0 and hierarchy.paths(df).count() == 0
 
 
 METRICS = "series_id bigint, metric_name string, ts bigint, reading bigint, lo string"
