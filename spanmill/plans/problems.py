@@ -40,7 +40,7 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_hierarchy_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p5_hierarchy with lists ranked in parallel however short they are."""
-    return hierarchy.hierarchy(table(spark, sf_dir, "goroutines"), local_rows=64)
+    return hierarchy.hierarchy(table(spark, sf_dir, "goroutines"), local_rows=1000)
 
 
 def p6_grid_observed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def open_spans(events: DataFrame, key: str = "g", state: str = "state") -> DataF
 
 
 #: Width of the stretches of time that an entity's interval map is split into.
-STRETCH_NS = 3_600_000_000_000
+STRETCH_NS = 6 * 3_600_000_000_000
 #: A span that stays open has one row beyond all stretches, from its start on.
 _OPEN = 2**62
 
