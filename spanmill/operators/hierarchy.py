@@ -11,7 +11,6 @@ come from parallel list ranking with random splitters.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,14 +55,12 @@ def _climb(links: DataFrame, scratch: Scratch, with_paths: bool = False) -> tupl
         F.col("node").alias("low"),
         *([F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<bigint>")).alias("path")] if with_paths else []),
     )
-    step = scratch.put(start)
-    finished: list[DataFrame] = []  # nodes stay in the table of the round that finished them
+    now = scratch.put(start)
     before = (-1, -1, -1)
     while True:
-        open_ = step.where(F.col("up").isNotNull())
+        open_ = now.where(F.col("up").isNotNull())
         # ids may be as large as a long: their sum is a decimal
         n, image, lows = open_.agg(F.count("*"), F.count_distinct("up"), F.sum(F.col("low").cast("decimal(20,0)"))).first()
-        now = reduce(DataFrame.unionByName, finished, step)
         # Nothing reached a root in this round: along a finite line of parents
         # every depth occurs, so all open nodes are endless. An image that no
         # longer shrinks is the cycles; minima that no longer change are theirs.
@@ -87,8 +84,9 @@ def _climb(links: DataFrame, scratch: Scratch, with_paths: bool = False) -> tupl
             F.least("low", "low2").alias("low"),
             *([F.concat("path", "path2").alias("path")] if with_paths else []),
         )
-        finished.append(step.where(F.col("up").isNull()).select(moved.columns))
-        step = scratch.put(moved)
+        then = scratch.put(moved.unionByName(now.where(F.col("up").isNull())))
+        scratch.drop(now)
+        now = then
     trees = now.where(F.col("up").isNull()).select("node", "root", F.col("steps").alias("depth"), *(["path"] if with_paths else []))
     if n == 0:
         return trees, None
@@ -139,42 +137,40 @@ def _rank_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     if not parts:
         return
     t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-    node, side, nxt, nxt_side, ahead, balance = (column(t, c) for c in ("node", "side", "next_node", "next_side", "ahead", "balance"))
+    node, side, nxt, nxt_side, ahead, balance, tail = (column(t, c) for c in ("node", "side", "next_node", "next_side", "ahead", "balance", "tail"))
     last = np.asarray(t.column(2).is_null())
     ix = pd.MultiIndex.from_arrays([node, side])
     to = np.where(last, np.arange(len(node)), ix.get_indexer(pd.MultiIndex.from_arrays([nxt, nxt_side])))
-    ahead, balance = ahead.copy(), balance.copy()
-    tail = to == np.arange(len(node))
-    ahead[tail], tail_balance = 0, np.where(tail, balance, 0)
-    balance[tail] = 0
+    end_ahead, end_balance = np.where(last, ahead, 0), np.where(last, balance, 0)
+    ahead, balance = np.where(last, 0, ahead), np.where(last, 0, balance)
     while True:
         far = to[to]
         ahead, balance = ahead + ahead[to], balance + balance[to]
         if (far == to).all():
             break
         to = far
-    cols = [node, side, ahead, balance + tail_balance[to], node[to]]
+    cols = [node, side, ahead + end_ahead[to], balance + end_balance[to], tail[to]]
     yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["node", "side", "ahead", "balance", "tail"])
 
 
-def rank_lists(elements: DataFrame, scratch: Scratch, local_rows: int = LOCAL_RANK_ROWS) -> DataFrame:
+_RANKED = ["node", "side", "ahead", "balance", "tail"]
+
+
+def rank_lists(elements: DataFrame, scratch: Scratch, local_rows: int = LOCAL_RANK_ROWS, level: int = 0) -> DataFrame:
     """(node, side, ahead, balance, tail) of linked lists.
 
-    Elements are (node, side, next_node, next_side, ahead, balance): `ahead` is
-    the distance to the next element, `balance` the weight of this one. In the
-    result `ahead` is the distance to the list's end, `balance` the weight from
-    this element to the end, both included, and `tail` the last element's node.
+    Elements are (node, side, next_node, next_side, ahead, balance, tail):
+    `ahead` is the distance to the next element, `balance` the weight from this
+    one up to it. An element without a next one has both up to the list's end,
+    itself included, and the end's node as `tail`. In the result all have.
     """
-    schema = "node bigint, side int, ahead bigint, balance bigint, tail bigint"
     if elements.count() <= local_rows:
-        return scratch.put(elements.coalesce(1).mapInArrow(_rank_locally, schema))
-    is_split = lambda n, s: F.pmod(F.xxhash64(n, s), F.lit(SPLIT_EVERY)) == 0
+        return scratch.put(elements.coalesce(1).mapInArrow(_rank_locally, "node bigint, side int, ahead bigint, balance bigint, tail bigint"))
+    # another choice on each level, or the splitters of one would all be splitters of the next
+    is_split = lambda n, s: F.pmod(F.xxhash64(n, s, F.lit(level)), F.lit(SPLIT_EVERY)) == 0
+    last = F.col("next_node").isNull()
     # Walk to the next splitter (or the end) from every element.
-    now = scratch.put(
-        elements.withColumn("split", is_split("node", "side") | F.col("next_node").isNull()).withColumn(
-            "stop", F.col("next_node").isNull() | is_split("next_node", "next_side")
-        )
-    )
+    now = scratch.put(elements.withColumns({"split": is_split("node", "side") & ~last, "stop": last | is_split("next_node", "next_side")}))
     while True:
         walking = now.where(~F.col("stop"))
         if is_empty(walking):
@@ -183,21 +179,36 @@ def rank_lists(elements: DataFrame, scratch: Scratch, local_rows: int = LOCAL_RA
             F.col("node").alias("next_node"), F.col("side").alias("next_side"), F.col("next_node").alias("n2"), F.col("next_side").alias("s2"),
             F.col("ahead").alias("a2"), F.col("balance").alias("b2"), F.col("stop").alias("stop2"),
         )
-        # whoever has come to a list's end stays there: ends count as splitters
+        # whoever has come to a list's end stays before it
         end = F.col("n2").isNull()
         moved = walking.join(far, ["next_node", "next_side"]).select(
             "node", "side", F.coalesce("n2", "next_node").alias("next_node"), F.coalesce("s2", "next_side").alias("next_side"),
             F.when(end, F.col("ahead")).otherwise(F.col("ahead") + F.col("a2")).alias("ahead"),
-            F.when(end, F.col("balance")).otherwise(F.col("balance") + F.col("b2")).alias("balance"), "split", F.col("stop2").alias("stop"),
+            F.when(end, F.col("balance")).otherwise(F.col("balance") + F.col("b2")).alias("balance"), "tail", "split", F.col("stop2").alias("stop"),
         )
         then = scratch.put(moved.unionByName(now.where("stop")))
         scratch.drop(now)
         now = then
-    short = rank_lists(now.where("split").select("node", "side", "next_node", "next_side", "ahead", "balance"), scratch, local_rows)
-    onward = short.select(F.col("node").alias("next_node"), F.col("side").alias("next_side"), F.col("ahead").alias("a2"), F.col("balance").alias("b2"), "tail")
-    rest = now.where(~F.col("split")).join(onward, ["next_node", "next_side"])
-    rest = rest.select("node", "side", (F.col("ahead") + F.col("a2")).alias("ahead"), (F.col("balance") + F.col("b2")).alias("balance"), "tail")
-    return scratch.put(rest.unionByName(short))
+
+    def onward(known: DataFrame) -> DataFrame:
+        return known.select(F.col("node").alias("next_node"), F.col("side").alias("next_side"), F.col("ahead").alias("a2"), F.col("balance").alias("b2"), F.col("tail").alias("t2"))
+
+    to_next = lambda rows, known: rows.join(onward(known), ["next_node", "next_side"], "left")
+    added = ["node", "side", "next_node", "next_side", "split", (F.col("ahead") + F.coalesce("a2", F.lit(0))).alias("ahead"), (F.col("balance") + F.coalesce("b2", F.lit(0))).alias("balance"), F.col("t2").alias("tail")]
+    ends = now.where(last)
+    # Elements before an end are done; splitters among them are the ends of the shorter lists.
+    near = scratch.put(to_next(now.where(~last), ends).select(*added))
+    done = near.where("tail is not null")
+    inner = near.where("split and tail is null").select("node", "side", "next_node", "next_side", "ahead", "balance", "tail")
+    # Only splitters that others lead to go on, so each level has an eighth of the elements at most.
+    aim = inner.select(F.col("next_node").alias("node"), F.col("next_side").alias("side")).distinct()
+    none = lambda t: F.lit(None).cast(t)
+    stops = done.where("split").join(aim, ["node", "side"], "left_semi").select("node", "side", none("bigint").alias("next_node"), none("int").alias("next_side"), "ahead", "balance", "tail")
+    ranked = rank_lists(scratch.put(inner.unionByName(stops)), scratch, local_rows, level + 1)
+    short = ranked.join(inner.select("node", "side"), ["node", "side"], "left_semi").select(*_RANKED)
+    known = short.unionByName(done.where("split").select(*_RANKED))
+    rest = to_next(near.where("not split and tail is null").drop("tail"), known).select(*added).select(*_RANKED)
+    return scratch.put(ends.select(*_RANKED).unionByName(done.select(*_RANKED)).unionByName(short).unionByName(rest))
 
 
 def hierarchy(df: DataFrame, node: str = "g_id", parent: str = "parent", local_rows: int = LOCAL_RANK_ROWS) -> DataFrame:
@@ -214,10 +225,12 @@ def hierarchy(df: DataFrame, node: str = "g_id", parent: str = "parent", local_r
     _, endless = _climb(links, scratch)
     trees = links if endless is None else links.join(endless, "node", "left_anti")
     tour = _euler_tour(trees, scratch)
+    last = F.col("next_node").isNull()
     elements = tour.select(
         "node", "side", "next_node", "next_side",
-        F.when(F.col("next_node").isNull(), 0).otherwise(1).cast("bigint").alias("ahead"),
+        F.when(last, 0).otherwise(1).cast("bigint").alias("ahead"),
         F.when(F.col("side") == 0, 1).otherwise(-1).cast("bigint").alias("balance"),
+        F.when(last, F.col("node")).alias("tail"),
     )
     ranked = rank_lists(scratch.put(elements), scratch, local_rows)
     one = ranked.groupBy("node").agg(

@@ -43,7 +43,9 @@ def test_hierarchy_against_brute_force(spark):
         below = {y for y, q in depth.items() if x in q[:-1]}
         assert h[x].n_descendants == len(below)
         assert {y for y, r in h.items() if r.root == h[x].root and h[x].entry < r.entry < h[x].exit} == below
-    tree = hierarchy.hierarchy(df)
+    tree = spark.createDataFrame(hierarchy.hierarchy(df).toPandas())
+    # several levels of splitters
+    assert sorted(map(tuple, hierarchy.hierarchy(df, local_rows=18).collect())) == sorted(map(tuple, tree.collect()))
     some = spark.createDataFrame([(x,) for x in (*list(depth)[::3], 77777, None)], "g_id bigint")
     want = {(x, y, len(depth[y]) - len(depth[x])) for x in list(depth)[::3] for y, q in depth.items() if x in q[:-1]}
     assert sorted(tuple(r) for r in hierarchy.descendants(tree, some).collect()) == sorted(want)
@@ -51,6 +53,14 @@ def test_hierarchy_against_brute_force(spark):
     assert sorted(tuple(r) for r in hierarchy.ancestors(tree, some).collect()) == sorted(want)
 
 
+def test_more_trees_than_are_ranked_at_once(spark):
+    """Many short lists beside a long one: every level must get shorter."""
+    rows = [(i, i - 1 if 1 < i <= 120 else None) for i in range(1, 200)] + [(i, i - 100) for i in range(300, 340)]
+    df = spark.createDataFrame(rows, "g_id bigint, parent bigint")
+    want = sorted(map(tuple, hierarchy.hierarchy(df).collect()))
+    assert len(want) == 239 and sorted(map(tuple, hierarchy.hierarchy(df, local_rows=8).collect())) == want
+
+
 def test_hierarchy_of_nothing(spark):
     df = spark.createDataFrame([], "g_id bigint, parent bigint")
     assert hierarchy.endless_nodes(df).count() == 0 and hierarchy.hierarchy(df, local_rows=40).count() == 0 and hierarchy.paths(df).count() == 0
