@@ -100,8 +100,9 @@ def flame_metrics(tree: DataFrame) -> DataFrame:
 def flame_shares(tree: DataFrame) -> DataFrame:
     """Adds pct_top, the share of a path in its top root, and pct_visible, that in all roots together."""
     tops = tree.where("depth = 1").select(F.col("path")[0].alias("_top"), F.col("duration").alias("_t"))
-    every = tree.where("depth = 1").agg(F.sum("duration")).scalar()
-    share = lambda whole: F.try_divide(F.col("duration").cast("double") * 100, whole)
+    # roots that fit a BIGINT each may not do so together
+    every = tree.where("depth = 1").agg(F.sum(F.col("duration").cast("decimal(38,0)"))).scalar()
+    share = lambda whole: F.try_divide(F.col("duration").cast("double") * 100, whole.cast("double"))
     out = tree.join(tops, F.col("path")[0] == F.col("_top")).select("*", every.alias("_all"))
     return out.select("path", "depth", "duration", share(F.col("_t")).alias("pct_top"), share(F.col("_all")).alias("pct_visible"))
 

@@ -45,6 +45,26 @@ def test_flame_weighs_paths_by_time(spark):
     assert {tuple(r.path)[0] for r in t.flame().collect()} == {"Running"}
 
 
+LONG = 9 * 10**18  # two of these exceed a BIGINT
+
+
+def saved(spark, path, moves, samples=()):
+    """A folder with the tables of a trace: moves (g, p, ts, from, to, reason, stack), samples (g, stack)."""
+    full = [(i, m[2], "StateTransition", m[0], m[1], 0, None, ("Goroutine", m[0], *m[3:])) for i, m in enumerate(moves)]
+    full += [(len(full) + i, LONG, "StackSample", g, 0, 0, stack, None) for i, (g, stack) in enumerate(samples)]
+    spark.createDataFrame([*full, (len(full), LONG, "Sync", None, None, None, None, None)], EVENT_SCHEMA).write.parquet(f"{path}/trace_events.parquet")
+    spark.createDataFrame(STACKS, "stack_id bigint, funcs array<string>").write.parquet(f"{path}/stacks.parquet")
+    return str(path)
+
+
+def test_flame_shares_of_roots_that_exceed_a_bigint_together(spark, tmp_path):
+    from spanmill.plans.records import QUERIES
+
+    d = saved(spark, tmp_path, [(1, None, 0, "Running", "Waiting", "select", 1), (2, None, 0, "Running", "Syscall", None, 2)])
+    got = {r.path: (r.pct_top, r.pct_visible) for r in QUERIES["flame_shares"](spark, d).collect()}
+    assert got == {p: (100.0, 50.0) for p in ("select", "select;main", "select;main;a", "blocking syscall", "blocking syscall;main", "blocking syscall;main;b")}
+
+
 def test_area_filter_keeps_the_curve(spark):
     import math
 
