@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import OFF_CPU, PATTERNS, TAG_ORDER, TAGS
+from ..session import Scratch
 from . import bins, intervals
 
 
@@ -67,7 +68,7 @@ def flame(samples: DataFrame, root: Column, weight: Column, funcs: str = "funcs"
 def on_cpu(events: DataFrame) -> DataFrame:
     """(g, p, stack_id, root, w): CPU samples under 'Running', each of the mean processor time per sample."""
     samples = events.where("kind = 'StackSample'")
-    time = intervals.processor_spans(events).agg(F.sum(F.col("end_ns") - F.col("start_ns"))).scalar()
+    time = intervals.processor_spans(events).agg(F.sum((F.col("end_ns") - F.col("start_ns")).cast("decimal(20,0)")).cast("double")).scalar()
     weight = F.round(F.try_divide(time, samples.agg(F.count("*")).scalar())).cast("bigint")
     return samples.select("g", "p", "stack_id", F.lit("Running").alias("root"), weight.alias("w"))
 
@@ -82,9 +83,15 @@ def off_cpu(events: DataFrame, stacks: DataFrame) -> DataFrame:
 
 
 def weighted_flame(parts: DataFrame, stacks: DataFrame) -> DataFrame:
-    """The flame graph of (stack_id, root, w); stacks without frames count nowhere."""
-    one = parts.groupBy("stack_id", "root").agg(F.sum("w").alias("w"))
-    return flame(one.join(stacks.where("size(funcs) > 0"), "stack_id"), F.col("root"), F.col("w"))
+    """The flame graph of (stack_id, root, w); stacks without frames count nowhere.
+
+    Sums are exact: duration is BIGINT if that of every path fits, else
+    DECIMAL(38,0) in all rows. The graph is written to find out.
+    """
+    one = parts.groupBy("stack_id", "root").agg(F.sum(F.col("w").cast("decimal(20,0)")).alias("w"))
+    tree = Scratch(parts.sparkSession, "flame").put(flame(one.join(stacks.where("size(funcs) > 0"), "stack_id"), F.col("root"), F.col("w")))
+    fits = tree.where(f"duration not between {-(2**63)} and {2**63 - 1}").isEmpty()
+    return tree.withColumn("duration", F.col("duration").cast("bigint")) if fits else tree
 
 
 def flame_metrics(tree: DataFrame) -> DataFrame:

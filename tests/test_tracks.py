@@ -65,6 +65,30 @@ def test_flame_shares_of_roots_that_exceed_a_bigint_together(spark, tmp_path):
     assert got == {p: (100.0, 50.0) for p in ("select", "select;main", "select;main;a", "blocking syscall", "blocking syscall;main", "blocking syscall;main;b")}
 
 
+#: Two goroutines that wait, two that run on processors of their own, each for all the trace.
+LONG_MOVES = [(1, None, 0, "Running", "Waiting", "select", 1), (2, None, 0, "Running", "Waiting", "select", 2), (3, 0, 0, "Runnable", "Running", None, None), (4, 1, 0, "Runnable", "Running", None, None)]
+
+
+def test_flame_prefix_time_beyond_a_bigint(spark, tmp_path):
+    from spanmill.plans.trace import QUERIES
+
+    d = saved(spark, tmp_path, LONG_MOVES, [(3, 1), (4, 2), (4, 2)])
+    out = QUERIES["flame_prefix_time"](spark, d)
+    once, share = LONG, 2 * LONG // 3
+    want = {"select": 2 * once, "select;main": 2 * once, "select;main;a": once, "select;main;b": once}
+    want |= {"Running": 3 * share, "Running;main": 3 * share, "Running;main;a": share, "Running;main;b": 2 * share}
+    assert dict(out.dtypes)["duration"] == "decimal(38,0)" and {r.path: int(r.duration) for r in out.collect()} == want
+
+
+def test_flame_duration_is_bigint_up_to_its_last_value(spark):
+    from spanmill.operators.stacks import weighted_flame
+
+    stacks = spark.createDataFrame(STACKS, "stack_id bigint, funcs array<string>")
+    for more, kind in ((0, "bigint"), (1, "decimal(38,0)")):
+        tree = weighted_flame(spark.createDataFrame([(1, "select", 2**63 - 6), (2, "select", 5 + more)], "stack_id bigint, root string, w bigint"), stacks)
+        assert dict(tree.dtypes)["duration"] == kind and {int(r.duration) for r in tree.where("depth = 1").collect()} == {2**63 - 1 + more}
+
+
 def test_area_filter_keeps_the_curve(spark):
     import math
 
