@@ -53,7 +53,7 @@ def saved(spark, path, moves, samples=()):
     full = [(i, m[2], "StateTransition", m[0], m[1], 0, None, ("Goroutine", m[0], *m[3:])) for i, m in enumerate(moves)]
     full += [(len(full) + i, LONG, "StackSample", g, 0, 0, stack, None) for i, (g, stack) in enumerate(samples)]
     spark.createDataFrame([*full, (len(full), LONG, "Sync", None, None, None, None, None)], EVENT_SCHEMA).write.parquet(f"{path}/trace_events.parquet")
-    spark.createDataFrame(STACKS, "stack_id bigint, funcs array<string>").write.parquet(f"{path}/stacks.parquet")
+    spark.createDataFrame([*STACKS, (4, ["main"])], "stack_id bigint, funcs array<string>").write.parquet(f"{path}/stacks.parquet")
     return str(path)
 
 
@@ -80,6 +80,15 @@ def test_flame_prefix_time_beyond_a_bigint(spark, tmp_path):
     assert dict(out.dtypes)["duration"] == "decimal(38,0)" and {r.path: int(r.duration) for r in out.collect()} == want
 
 
+def test_flame_self_time_beyond_a_bigint(spark, tmp_path):
+    from spanmill.plans.trace import QUERIES
+
+    # a third wait, whose stack ends where the others have their leaves
+    d = saved(spark, tmp_path, [*LONG_MOVES, (5, None, 0, "Running", "Waiting", "select", 4)])
+    got = {r.path: (int(r.self), r.n_children, r.pct_parent) for r in QUERIES["flame_self_time"](spark, d).collect()}
+    assert got == {"select": (0, 1, None), "select;main": (LONG, 2, 100.0), "select;main;a": (LONG, 0, 33.333333), "select;main;b": (LONG, 0, 33.333333)}
+
+
 def test_flame_duration_is_bigint_up_to_its_last_value(spark):
     from spanmill.operators.stacks import weighted_flame
 
