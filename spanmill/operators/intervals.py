@@ -57,6 +57,23 @@ def goroutine_spans(events: DataFrame) -> DataFrame:
     )
 
 
+def spans_with_stack(events: DataFrame, states: list[str]) -> DataFrame:
+    """State spans (g, start_ns, end_ns, state, stack_id) of goroutine_spans whose state is one of `states` and whose transition has a stack.
+
+    The sweep carries no more than the time of all other transitions.
+    """
+    moves = goroutine_transitions(events)
+    state = F.when(F.col("to_state") != "NotExist", transition_state(F.col("from_state"), F.col("to_state"), F.col("reason")))
+    kept = state.isin(*states) & F.col("stack_id").isNotNull()
+    marked = {"state": state, "stack_id": F.col("stack_id"), "before_trace": F.col("from_state") == "Undetermined"}
+    lean = moves.select("g", "event_id", "ts", *[F.when(kept, c).alias(name) for name, c in marked.items()])
+    paired = balanced_next(lean, ["g"], ["event_id"], ["ts"], Scratch(events.sparkSession, "stack-spans"), extra=[*marked]).where("state is not null")
+    extent = trace_extent(events)
+    paired = paired.select("*", extent.select("trace_start").scalar().alias("trace_start"), extent.select("trace_end").scalar().alias("trace_end"))
+    start = F.when(F.col("before_trace"), F.col("trace_start")).otherwise(F.col("ts"))
+    return paired.select("g", start.alias("start_ns"), F.coalesce("next_ts", "trace_end").alias("end_ns"), "state", "stack_id")
+
+
 def stack_entries(events: DataFrame, stacks: DataFrame) -> DataFrame:
     """(g, event_id, start_ns, end_ns, state, funcs): what a goroutine's stack tracks show, funcs leaf first.
 

@@ -65,19 +65,33 @@ def flame(samples: DataFrame, root: Column, weight: Column, funcs: str = "funcs"
     return at.groupBy(F.slice("path", F.lit(1), F.col("depth")).alias("path"), "depth").agg(F.sum("w").alias("duration"))
 
 
+def _duration() -> Column:
+    """Time between start_ns and end_ns, which may lie further apart than a BIGINT reaches."""
+    return F.col("end_ns").cast("decimal(20,0)") - F.col("start_ns").cast("decimal(20,0)")
+
+
+def narrowed(df: DataFrame, column: str, label: str) -> DataFrame:
+    """`column` as BIGINT if every value fits, else as DECIMAL(38,0) in all rows; written to find out."""
+    out = Scratch(df.sparkSession, label).put(df.withColumn(column, F.col(column).cast("decimal(38,0)")))
+    fits = out.where(f"{column} not between {-(2**63)} and {2**63 - 1}").isEmpty()
+    return out.withColumn(column, F.col(column).cast("bigint")) if fits else out
+
+
 def on_cpu(events: DataFrame) -> DataFrame:
     """(g, p, stack_id, root, w): CPU samples under 'Running', each of the mean processor time per sample."""
     samples = events.where("kind = 'StackSample'")
-    time = intervals.processor_spans(events).agg(F.sum((F.col("end_ns") - F.col("start_ns")).cast("decimal(20,0)")).cast("double")).scalar()
-    weight = F.round(F.try_divide(time, samples.agg(F.count("*")).scalar())).cast("bigint")
+    time = intervals.processor_spans(events).agg(F.sum(_duration()).cast("double")).scalar()
+    mean = F.round(F.try_divide(time, samples.agg(F.count("*")).scalar()))
+    # a double beyond BIGINT is a multiple of 2048; cast to a decimal at once it would lose its last digits
+    weight = F.when(F.abs(mean) < 2.0**63, mean.cast("bigint").cast("decimal(31,0)")).otherwise((mean / 2048).cast("bigint").cast("decimal(20,0)") * F.lit(2048))
     return samples.select("g", "p", "stack_id", F.lit("Running").alias("root"), weight.alias("w"))
 
 
 def off_cpu(events: DataFrame, stacks: DataFrame) -> DataFrame:
     """(g, stack_id, root, w): durations of blocked spans under the root of their state, patterns applied."""
-    at = intervals.goroutine_transitions(events).select(F.col("event_id").alias("start_event"), "stack_id").where("stack_id is not null")
-    spans = intervals.goroutine_spans(events).select("g", "start_event", "state", (F.col("end_ns") - F.col("start_ns")).alias("w"))
-    named = apply_patterns(spans.join(at, "start_event").join(stacks, "stack_id"))
+    # no other state gets a root, by patterns or without
+    spans = intervals.spans_with_stack(events, sorted({*OFF_CPU, *(p[0] for p in PATTERNS)})).select("g", "stack_id", "state", _duration().alias("w"))
+    named = apply_patterns(spans.join(stacks, "stack_id"))
     roots = F.create_map(*[F.lit(x) for kv in OFF_CPU.items() for x in kv])
     return named.select("g", "stack_id", roots[F.col("new_state")].alias("root"), "w").where("root is not null")
 
@@ -88,20 +102,23 @@ def weighted_flame(parts: DataFrame, stacks: DataFrame) -> DataFrame:
     Sums are exact: duration is BIGINT if that of every path fits, else
     DECIMAL(38,0) in all rows. The graph is written to find out.
     """
-    one = parts.groupBy("stack_id", "root").agg(F.sum(F.col("w").cast("decimal(20,0)")).alias("w"))
-    tree = Scratch(parts.sparkSession, "flame").put(flame(one.join(stacks.where("size(funcs) > 0"), "stack_id"), F.col("root"), F.col("w")))
-    fits = tree.where(f"duration not between {-(2**63)} and {2**63 - 1}").isEmpty()
-    return tree.withColumn("duration", F.col("duration").cast("bigint")) if fits else tree
+    one = parts.groupBy("stack_id", "root").agg(F.sum(F.col("w").cast("decimal(31,0)")).alias("w"))
+    return narrowed(flame(one.join(stacks.where("size(funcs) > 0"), "stack_id"), F.col("root"), F.col("w")), "duration", "flame")
 
 
 def flame_metrics(tree: DataFrame) -> DataFrame:
-    """Adds self time, number of children and share of the parent."""
-    up = tree.where("depth > 1").select(F.slice("path", F.lit(1), F.col("depth") - 1).alias("path"), F.col("duration").alias("d"))
+    """Adds self time, number of children and share of the parent.
+
+    self is DECIMAL(38,0): where time runs backwards between events, durations
+    that fit a BIGINT each need not do so as they are summed.
+    """
+    wide = F.col("duration").cast("decimal(38,0)")
+    up = tree.where("depth > 1").select(F.slice("path", F.lit(1), F.col("depth") - 1).alias("path"), wide.alias("d"))
     kids = up.groupBy("path").agg(F.sum("d").alias("below"), F.count("*").alias("n_children"))
     parents = tree.select(F.col("path").alias("up"), F.col("duration").alias("parent_duration"))
     out = tree.join(kids, "path", "left").withColumn("up", F.when(F.col("depth") > 1, F.slice("path", F.lit(1), F.col("depth") - 1)))
     out = out.join(parents, "up", "left")
-    return out.select("path", "depth", "duration", (F.col("duration") - F.coalesce("below", F.lit(0))).alias("self"), F.coalesce("n_children", F.lit(0)).alias("n_children"), F.try_divide(F.col("duration").cast("double") * 100, "parent_duration").alias("pct_parent"))
+    return out.select("path", "depth", "duration", (wide - F.coalesce("below", F.lit(0))).cast("decimal(38,0)").alias("self"), F.coalesce("n_children", F.lit(0)).alias("n_children"), F.try_divide(F.col("duration").cast("double") * 100, "parent_duration").alias("pct_parent"))
 
 
 def flame_shares(tree: DataFrame) -> DataFrame:

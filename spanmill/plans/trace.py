@@ -526,7 +526,8 @@ SELECT array_to_string(t.path, ';') AS path, t.duration - coalesce(below, 0) AS
 FROM tree t LEFT JOIN k ON t.path = k.path LEFT JOIN tree u ON t.depth > 1 AND u.path = t.path[1:t.depth - 1]"""
 )
 def flame_self(spark, sf_dir):
-    return stacks.flame_metrics(_flame(spark, sf_dir)).select(F.array_join("path", ";").alias("path"), "self", "n_children", F.round("pct_parent", 6).alias("pct_parent"))
+    # counts are never negative: what is left of one fits where it does
+    return stacks.flame_metrics(_flame(spark, sf_dir)).select(F.array_join("path", ";").alias("path"), F.col("self").cast("bigint").alias("self"), "n_children", F.round("pct_parent", 6).alias("pct_parent"))
 
 
 _ROOT = "CASE new_state " + " ".join(f"WHEN '{_q(k)}' THEN '{_q(v)}'" for k, v in OFF_CPU.items()) + " END"
@@ -558,7 +559,7 @@ SELECT array_to_string(t.path, ';') AS path, t.duration - coalesce(below, 0) AS
 FROM tree t LEFT JOIN k ON t.path = k.path LEFT JOIN tree u ON t.depth > 1 AND u.path = t.path[1:t.depth - 1]"""
 )
 def flame_self_time(spark, sf_dir):
-    return stacks.flame_metrics(_flame_time(spark, sf_dir)).select(F.array_join("path", ";").alias("path"), "self", "n_children", F.round("pct_parent", 6).alias("pct_parent"))
+    return stacks.narrowed(stacks.flame_metrics(_flame_time(spark, sf_dir)), "self", "flame-self").select(F.array_join("path", ";").alias("path"), "self", "n_children", F.round("pct_parent", 6).alias("pct_parent"))
 
 
 @query(

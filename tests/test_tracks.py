@@ -1,5 +1,7 @@
 """Stack tracks, flame weights and area filters by hand-made traces."""
 
+import pytest
+
 from spanmill.api import TraceDataset
 from spanmill.sources.files import EVENT_SCHEMA
 
@@ -89,6 +91,51 @@ def test_flame_self_time_beyond_a_bigint(spark, tmp_path):
     assert got == {"select": (0, 1, None), "select;main": (LONG, 2, 100.0), "select;main;a": (LONG, 0, 33.333333), "select;main;b": (LONG, 0, 33.333333)}
 
 
+#: Moves, samples and (self, n_children, pct_parent) by path, where single values fit a BIGINT and what comes of them does not.
+FAR = {
+    # time runs backwards for the third goroutine: no duration is too long, but what "main" has without "a" is
+    "backwards": (
+        [(1, None, 0, "Running", "Waiting", "select", 4), (2, None, 0, "Running", "Waiting", "select", 4), (3, None, LONG, "Running", "Waiting", "select", 1), (3, None, 0, "Waiting", "Running", None, None)],
+        [],
+        {"select": (0, 1, None), "select;main": (2 * LONG, 1, 100.0), "select;main;a": (-LONG, 0, -100.0)},
+    ),
+    "one span": ([(1, None, -LONG, "Running", "Waiting", "select", 4)], [], {"select": (0, 1, None), "select;main": (2 * LONG, 0, 100.0)}),
+    "one sample for two processors": (LONG_MOVES[2:], [(3, 4)], {"Running": (0, 1, None), "Running;main": (2 * LONG, 0, 100.0)}),
+}
+
+
+@pytest.mark.parametrize("case", FAR)
+def test_flame_self_time_of_values_that_fit_alone(spark, tmp_path, case):
+    from spanmill.plans.trace import QUERIES
+
+    moves, samples, want = FAR[case]
+    out = QUERIES["flame_self_time"](spark, saved(spark, tmp_path, moves, samples))
+    assert dict(out.dtypes)["self"] == "decimal(38,0)" and {r.path: (int(r.self), r.n_children, r.pct_parent) for r in out.collect()} == want
+
+
+def test_flame_metrics_add_up_in_any_order(spark):
+    from spanmill.operators.stacks import flame_metrics
+
+    x = 6 * 10**18
+    for kids in ([x, x, -x], [-x, -x, x]):
+        tree = [(["r"], 1, sum(kids)), *[(["r", str(i)], 2, w) for i, w in enumerate(kids)]]
+        # in one partition: rows are added as they stand here
+        out = flame_metrics(spark.createDataFrame(tree, "path array<string>, depth int, duration bigint").coalesce(1))
+        assert {tuple(r.path): (int(r.self), r.n_children) for r in out.collect()} == {("r",): (0, 3), **{("r", str(i)): (w, 0) for i, w in enumerate(kids)}}
+
+
+def test_flame_self_time_takes_the_stack_of_each_transition(spark, tmp_path):
+    from spanmill.plans.trace import QUERIES
+
+    # an event that is in the log twice is two spans, of which one takes no time
+    d = saved(spark, tmp_path, [(1, None, 0, "Running", "Waiting", "select", 1), (2, None, 5, "Running", "Syscall", None, 2), (1, None, 9, "Waiting", "Running", None, None)])
+    events = spark.read.parquet(f"{d}/trace_events.parquet")
+    events.unionByName(events.where("event_id = 0")).coalesce(1).write.parquet(f"{d}/again/trace_events.parquet")
+    spark.read.parquet(f"{d}/stacks.parquet").coalesce(1).write.parquet(f"{d}/again/stacks.parquet")
+    got = {r.path: int(r.self) for r in QUERIES["flame_self_time"](spark, f"{d}/again").collect()}
+    assert got == {"select": 0, "select;main": 0, "select;main;a": 9, "blocking syscall": 0, "blocking syscall;main": 0, "blocking syscall;main;b": LONG - 5}
+
+
 def test_flame_duration_is_bigint_up_to_its_last_value(spark):
     from spanmill.operators.stacks import weighted_flame
 
